@@ -211,8 +211,8 @@ def descend(nodes: DataFrame, threshold: float, k: int, longest: int, rounds: in
             if got >= target * want.count() or not n_truth:
                 break
     found = graph.where(F.col("sim") >= threshold)
-    # Nodes that may have more links than their list holds: all their links, from all nodes.
-    may = graph.join(sizes, "u", "left").groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low"), F.coalesce(F.first("k"), F.lit(k)).alias("k")).where((F.col("n") >= F.col("k")) & (F.col("low") >= threshold)).select(F.col("u").alias("node"))
+    # Nodes with nothing below the threshold in their lists may have more links: all their links, from all nodes.
+    may = graph.groupBy("u").agg(F.min("sim").alias("low")).where(F.col("low") >= threshold).select(F.col("u").alias("node"))
     may = written(may.join(nodes, "node"), "saturated")
     if not may.isEmpty():
         found = found.unionByName(against_all(may, nodes, threshold).where(F.col("sim") >= threshold))
