@@ -521,9 +521,10 @@ def density_leaders(spark, d):
     return dens.select("med", "t_src", "u", F.row_number().over(Window.partitionBy("med", "t_src").orderBy(F.desc("density"), "u")).alias("r"))
 
 
-@query(T + REL + E + D + M + K + LISTS + ORDERED + PAIRS + """, cand AS (SELECT p.med, p.u, p.v, o.u AS k, p.t_src FROM pairs p JOIN strided o ON o.med = p.med AND o.t_src = p.t_src WHERE o.u <> p.u AND o.u <> p.v),
-en AS (SELECT cand.med, cand.u, cand.v, sum(2 * ((xu.a + xv.a) / 2 - xk.a) * ((xu.a + xv.a) / 2 - xk.a) - (xu.a - xk.a) * (xu.a - xk.a) - (xv.a - xk.a) * (xv.a - xk.a)) AS dl FROM cand JOIN kx xu ON xu.gid = cand.u JOIN kx xv ON xv.gid = cand.v AND xv.i = xu.i JOIN kx xk ON xk.gid = cand.k AND xk.i = xu.i GROUP BY ALL)
-SELECT p.med, p.u, p.v, round(coalesce(dl, 0) - 2 * cost, 5) + 0.0 AS delta FROM pairs p LEFT JOIN en ON en.med = p.med AND en.u = p.u AND en.v = p.v WHERE p.t_src = 3""")
+@query(T + REL + E + D + M + K + LISTS + ORDERED + PAIRS + """, one AS (SELECT gid, a FROM kx WHERE type_id = 3),
+en AS (SELECT p.med, p.u, p.v, sum(2 * ((xu.a + xv.a) / 2 - xk.a) * ((xu.a + xv.a) / 2 - xk.a) - (xu.a - xk.a) * (xu.a - xk.a) - (xv.a - xk.a) * (xv.a - xk.a)) AS dl
+FROM (SELECT * FROM pairs WHERE t_src = 3) p JOIN (SELECT * FROM strided WHERE t_src = 3) o ON o.med = p.med AND o.u <> p.u AND o.u <> p.v JOIN one xu ON xu.gid = p.u JOIN one xv ON xv.gid = p.v JOIN one xk ON xk.gid = o.u GROUP BY ALL)
+SELECT p.med, p.u, p.v, round(coalesce(dl, 0) - 2 * cost, 5) + 0.0 AS delta FROM (SELECT * FROM pairs WHERE t_src = 3) p LEFT JOIN en ON en.med = p.med AND en.u = p.u AND en.v = p.v""")
 def dirichlet_delta(spark, d):
     k, ordered, p = pairs_of(spark, d)
     p, o = p.where("t_src = 3").select("med", "t_src", "u", "v", "w_u", "w_v"), ordered.where("t_src = 3")
