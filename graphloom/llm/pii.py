@@ -138,10 +138,12 @@ def row_of(kind: str, v: tuple[int, int, int], shape: int) -> np.ndarray:
 
 
 def estimate(cells: dict[tuple[str, int, int, int, int], int], rounds: int = 50) -> SpanModel:
-    """EM over counted votes (abstentions say nothing), then a logistic classifier trained on the posteriors."""
+    """EM over counted votes (abstentions of labelers that also vote 0 say nothing), then a logistic classifier trained on the posteriors."""
     keys = sorted(cells)
     n = np.array([cells[k] for k in keys], float)
     v = np.array([k[1:4] for k in keys]).reshape(-1, 3)
+    # The silence of a labeler that never votes 0 is its other answer.
+    v = np.where((v == -1) & ~(v == 0).any(0), 0, v)
     theta, prior = np.tile([[0.8, 0.3]], (3, 1)), 0.7
     post = np.zeros(len(keys))
     for _ in range(rounds if len(keys) else 0):
