@@ -22,6 +22,7 @@ read.
 
 from __future__ import annotations
 
+import gc
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -118,42 +119,50 @@ def segments(s: np.ndarray, scheme: Scheme) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def sets_of(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, node, s): the number of shingles, a hash that equal sets share, and the sorted set."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
+def narrow_of(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, n, node) without the sets: they are made anew from the texts where needed, which is cheaper than keeping them."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in slices(texts):
                 found = shingles(texts[lo:hi], width)
-                n = np.array([len(x) for x in found])
-                node = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 if len(x) else None for x in found]
-                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(node, pa.int64()), values], names=["id", "n", "node", "s"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(x) for x in found], pa.int64()), pa.array([node_of(x) for x in found], pa.int64())], names=["id", "n", "node"])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def signatures(sets: DataFrame, percent: int, bits: tuple | None = None) -> DataFrame:
-    """(sig, node) of all sets, or of those signatures that a bit filter lets through."""
-    b_b = sets.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
+def node_of(s: np.ndarray) -> int | None:
+    """A hash that equal sets share; null for an empty set."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None
+
+
+def signatures(df: DataFrame, text_col: str, width: int, percent: int, bits: np.ndarray | None = None) -> DataFrame:
+    """(sig, node) of all sets, or of those signatures that a bit filter of their upper 48 bits lets through."""
+    b_b = df.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
         for b in batches:
-            flat, off = b.column(1).flatten().to_numpy(), b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py()
-            sig, node = [], b.column(0).to_numpy()
-            for lo, hi in zip(off[:-1], off[1:], strict=True):
-                sig.append(segments(flat[lo:hi], scheme))
-            n = [len(x) for x in sig]
-            sig, node = np.concatenate(sig) if sig else np.zeros(0, np.int64), np.repeat(node, n)
-            if b_b is not None:
-                ok = within_bits(b_b.value, sig, LOG2)
-                sig, node = sig[ok], node[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], names=["sig", "node"])
+            texts = b.column(0).to_pylist()
+            for lo, hi in slices(texts):
+                found = [s for s in shingles(texts[lo:hi], width) if len(s)]
+                sig = [segments(s, scheme) for s in found]
+                node = np.repeat(np.array([node_of(s) for s in found], np.int64), [len(x) for x in sig])
+                sig = np.concatenate(sig) if sig else np.zeros(0, np.int64)
+                if b_b is not None:
+                    ok = within_bits(b_b.value, sig >> 16, LOG2)
+                    sig, node = sig[ok], node[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], names=["sig", "node"])
+
+    return df.select(text_col).mapInArrow(run, "sig long, node long")
 
-    return sets.where("n > 0").select("node", "s").mapInArrow(run, "sig long, node long")
+
+def freed(spark) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
@@ -173,26 +182,35 @@ def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
 def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, stars: int = 3) -> DataFrame:
     """One row for each row of ``df``: its id, n_shingles and component_id. Two texts link when
     100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles."""
-    sets = written(sets_of(df, id_col, text_col, width), "sets")
-    # Signatures that two different sets share; min and max tell without a list of a group's members.
-    shared = signatures(sets, percent).groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
-    shared = written(shared, "shared")
-    members = written(signatures(sets, percent, bits_of(shared, "sig", LOG2)).distinct().join(shared, "sig"), "members")
-    node_bits = bits_of(members.select("node").distinct(), "node", LOG2)
-    b_b = df.sparkSession.sparkContext.broadcast(node_bits)
+    spark = df.sparkSession
+    rows = written(narrow_of(df, id_col, text_col, width), "rows")
+    # Signatures that two different sets share, by 48 of their bits; the smallest and largest node tell that without a list
+    # of a group's members.
+    half = signatures(df, text_col, width, percent).select(F.shiftright("sig", 16).alias("sig"), "node")
+    shared = written(half.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"), "shared")
+    freed(spark)
+    found = signatures(df, text_col, width, percent, bits_of(shared, "sig", LOG2)).distinct()
+    members = written(found.join(shared.withColumnRenamed("sig", "__s"), F.shiftright("sig", 16) == F.col("__s"), "left_semi"), "members")
+    dropped(shared)
+    freed(spark)
+    # One row stands for each node's copies: the one of the smallest hashed id.
+    stand_in = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("id")).alias("k"))
+    b_b = spark.sparkContext.broadcast(bits_of(stand_in, "k", LOG2))
 
     def cut(batches):
         for b in batches:
             b = b.filter(pa.array(within_bits(b_b.value, b.column(0).to_numpy(), LOG2)))
-            rows = []
-            for node, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                s = s.values.to_numpy()
-                f = (s.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(61)  # fragments of the hashes' own order
-                rows += [(node, n, int(k), s[f == k]) for k in range(ROWS)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["node", "n", "f", "part"])
-
-    one_each = sets.where("n > 0").select("node", "n", "s").mapInArrow(cut, "node long, n long, f int, part array<long>").dropDuplicates(["node", "f"])
-    fragments = written(one_each, "fragments")
+            texts = b.column(1).to_pylist()
+            for lo, hi in slices(texts):
+                parts = []
+                for s in shingles(texts[lo:hi], width):
+                    f = (s.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(61)  # fragments of the hashes' own order
+                    parts += [(node_of(s), len(s), int(k), s[f == k]) for k in range(ROWS) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in parts], pa.int64()), pa.array([r[1] for r in parts], pa.int64()), pa.array([r[2] for r in parts], pa.int32()), pa.array([r[3] for r in parts], pa.list_(pa.int64()))], names=["node", "n", "f", "part"])
+
+    some = df.select(F.xxhash64(id_col).alias("k"), text_col).mapInArrow(cut, "node long, n long, f int, part array<long>")
+    fragments = written(some.dropDuplicates(["node", "f"]), "fragments")
+    freed(spark)
     roots = df.sparkSession.createDataFrame([], "node long, root long")
     links, tested = None, None
     for turn in range(stars + 1):
@@ -214,8 +232,9 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         found = written(linked(pairs, fragments, percent), "links")
         links = found if links is None else links.unionByName(found)
         roots = written(components(links), "roots")
+        freed(spark)
     dropped(fragments)
-    rows = sets.select("id", "n", "node").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    rows = rows.join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
     low = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("low"))
     # A hot component is one row on the right; AQE splits the left side.
     return rows.join(low, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
