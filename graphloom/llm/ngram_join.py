@@ -215,7 +215,9 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     links, tested = None, None
     for turn in range(stars + 1):
         now = labelled(members, roots)
-        spans = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "c")).alias("hub")).where("lo <> hi").select("sig", F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c"))
+        # First one centre for all the groups of a cluster; what that leaves open meets another centre in each group.
+        order = F.xxhash64("node", F.lit(turn)) if not turn else F.xxhash64("node", "sig", F.lit(turn))
+        spans = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(order, "node", "c")).alias("hub")).where("lo <> hi").select("sig", F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c"))
         if turn < stars:
             pairs = now.join(spans, "sig").where("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
