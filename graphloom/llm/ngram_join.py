@@ -10,9 +10,12 @@ Pairs found are verified by partial overlaps: sets are cut into fragments of the
 are counted apart, and the counts are summed for each pair.
 
 Components need no list of all pairs. In each round, each group of equal segments that still spans two components tests
-its members against one of them (a star), which is linear in the group; links join components. After ``stars`` rounds the
-groups that still span components are settled exactly: every pair across components that no round has tested. So no
-link between different components is lost, and the work within a group of near copies is far below its pairs.
+its members against one of them (a star), which is linear in the group; links join components. The centre is the member
+that shares most with other components, mostly the text that the others are copies of. After ``stars`` rounds the groups
+that still span components are settled exactly: every pair across components that no round has tested and whose sizes
+and counts of shared shingles allow a link. (A shingle that no other open node has is in no intersection, so nodes with
+too many of them link with nothing and leave the groups.) So no link between different components is lost, and the work
+within a group of near copies is far below its pairs.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; texts with fewer words than
 a shingle are one shingle; equal sets are one node, whatever the number of rows; repeated ids are rows of their own; a
@@ -179,7 +182,34 @@ def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
 
 
-def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, stars: int = 3) -> DataFrame:
+def centres(now: DataFrame) -> DataFrame:
+    """(sig, hub, hub_c) for each group of ``now`` (sig, node, c) that spans components: the member that meets most nodes
+    of other components, over all its groups."""
+    part = now.groupBy("sig", "c").count()
+    whole = part.groupBy("sig").agg(F.sum("count").alias("all"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig", "all")
+    others = part.join(whole, "sig").select("sig", "c", (F.col("all") - F.col("count")).alias("others"))
+    spanning = now.join(others, ["sig", "c"])
+    weight = spanning.groupBy("node").agg(F.sum("others").alias("weight"))
+    first = F.min(F.struct(-F.col("weight"), F.xxhash64("node"), "node", "c")).alias("hub")
+    return spanning.join(weight, "node").groupBy("sig").agg(first).select("sig", F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c"))
+
+
+def open_members(now: DataFrame, fragments: DataFrame, percent: int, passes: int = 2) -> DataFrame:
+    """(sig, node, c, n, common) of the groups that span components, without nodes that can't link with another open node.
+    ``common`` counts a node's shingles that another open node has too; an intersection can't be larger. Each pass counts
+    anew over the nodes that the one before left."""
+    for _ in range(passes):
+        spans = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
+        now = written(now.select("sig", "node", "c").join(spans, "sig", "left_semi"), "open")
+        each = fragments.join(now.select("node").distinct(), "node", "left_semi").select("node", "n", F.explode("part").alias("x"))
+        same = Window.partitionBy("x")
+        twice = each.withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).where("lo <> hi")
+        common = written(twice.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("common")).where(f"100 * common >= {percent} * n"), "common")
+        now = now.join(common, "node")
+    return now
+
+
+def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, stars: int = 2) -> DataFrame:
     """One row for each row of ``df``: its id, n_shingles and component_id. Two texts link when
     100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles."""
     spark = df.sparkSession
@@ -215,21 +245,19 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     links, tested = None, None
     for turn in range(stars + 1):
         now = labelled(members, roots)
-        # First one centre for all the groups of a cluster; what that leaves open meets another centre in each group.
-        order = F.xxhash64("node", F.lit(turn)) if not turn else F.xxhash64("node", "sig", F.lit(turn))
-        spans = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(order, "node", "c")).alias("hub")).where("lo <> hi").select("sig", F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c"))
         if turn < stars:
-            pairs = now.join(spans, "sig").where("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            pairs = now.join(centres(now), "sig").where("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
-            open_groups = written(now.join(spans, "sig").select("sig", "node", "c"), "open")
-            other = open_groups.select("sig", F.col("node").alias("b"), F.col("c").alias("c_b"))
-            pairs = open_groups.withColumnRenamed("node", "a").join(other, "sig").where("a < b and c <> c_b").select("a", "b")
+            still = written(open_members(now, fragments, percent), "still")
+            other = still.select("sig", F.col("node").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("common").alias("common_b"))
+            within = f"a < b and c <> c_b and least(n, n_b) * 100 >= greatest(n, n_b) * {percent} and least(common, common_b) * {100 + percent} >= (n + n_b) * {percent}"
+            pairs = still.withColumnRenamed("node", "a").join(other, "sig").where(within).select("a", "b")
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = written(linked(pairs, fragments, percent), "links")
         links = found if links is None else links.unionByName(found)
