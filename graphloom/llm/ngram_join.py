@@ -14,7 +14,7 @@ its members against one of them (a star), which is linear in the group; links jo
 that shares most with other components, mostly the text that the others are copies of. After ``stars`` rounds the groups
 that still span components are settled exactly: every pair across components that no round has tested and whose sizes
 and counts of shared shingles allow a link. (A shingle that no other open node has is in no intersection, so nodes with
-too many of them link with nothing and leave the groups.) So no link between different components is lost, and the work
+too many of them link with nothing; they leave the groups at the start, and again before this step.) So no link between different components is lost, and the work
 within a group of near copies is far below its pairs.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; texts with fewer words than
@@ -162,6 +162,33 @@ def signatures(df: DataFrame, text_col: str, width: int, percent: int, bits: np.
     return df.select(text_col).mapInArrow(run, "sig long, node long")
 
 
+def sets_of(df: DataFrame, id_col: str, text_col: str, width: int, bits: np.ndarray, whole: bool = False) -> DataFrame:
+    """The sets of the rows whose hashed id a bit filter lets through: (node, n, f, part) by fragments of the hashes' own
+    order, or (node, n, x) by shingle where ``whole``."""
+    b_b = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(within_bits(b_b.value, b.column(0).to_numpy(), LOG2)))
+            texts = b.column(1).to_pylist()
+            for lo, hi in slices(texts):
+                sets = [s for s in shingles(texts[lo:hi], width) if len(s)]
+                if not sets:
+                    continue
+                flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+                node = np.array([node_of(s) for s in sets], np.int64)
+                if whole:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(flat)], names=["node", "n", "x"])
+                    continue
+                # Sets are sorted, so a fragment is a run.
+                f = ((flat.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(61)).astype(np.int64) + ROWS * np.repeat(np.arange(len(sets)), sizes)
+                ends = np.cumsum(np.bincount(f, minlength=ROWS * len(sets)))
+                part = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, ROWS)), pa.array(np.repeat(sizes, ROWS)), pa.array(np.tile(np.arange(ROWS, dtype=np.int32), len(sets))), part], names=["node", "n", "f", "part"])
+
+    return df.select(F.xxhash64(id_col).alias("k"), text_col).mapInArrow(run, "node long, n long, x long" if whole else "node long, n long, f int, part array<long>")
+
+
 def freed(spark) -> None:
     """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
     gc.collect()
@@ -202,13 +229,18 @@ def open_members(now: DataFrame, fragments: DataFrame, percent: int, passes: int
         spans = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
         now = written(now.select("sig", "node", "c").join(spans, "sig", "left_semi"), "open")
         each = fragments.join(now.select("node").distinct(), "node", "left_semi").select("node", "n", F.explode("part").alias("x"))
-        same = Window.partitionBy("x")
-        twice = each.withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).where("lo <> hi")
-        common = written(twice.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("common")).where(f"100 * common >= {percent} * n"), "common")
-        now = now.join(common, "node")
+        now = now.join(common_of(each, percent), "node")
     return now
 
 
+def common_of(each: DataFrame, percent: int) -> DataFrame:
+    """(node, n, common) from (node, n, x): how many of a node's shingles another node has too, where that allows a link.
+    Rows given twice only make the count larger, which is safe."""
+    same = Window.partitionBy("x")
+    twice = each.withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).where("lo <> hi")
+    return written(twice.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("common")).where(f"100 * common >= {percent} * n"), "common")
+
+
 def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, stars: int = 2) -> DataFrame:
     """One row for each row of ``df``: its id, n_shingles and component_id. Two texts link when
     100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles."""
@@ -225,20 +257,17 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     freed(spark)
     # One row stands for each node's copies: the one of the smallest hashed id.
     stand_in = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("id")).alias("k"))
-    b_b = spark.sparkContext.broadcast(bits_of(stand_in, "k", LOG2))
-
-    def cut(batches):
-        for b in batches:
-            b = b.filter(pa.array(within_bits(b_b.value, b.column(0).to_numpy(), LOG2)))
-            texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                parts = []
-                for s in shingles(texts[lo:hi], width):
-                    f = (s.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(61)  # fragments of the hashes' own order
-                    parts += [(node_of(s), len(s), int(k), s[f == k]) for k in range(ROWS) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in parts], pa.int64()), pa.array([r[1] for r in parts], pa.int64()), pa.array([r[2] for r in parts], pa.int32()), pa.array([r[3] for r in parts], pa.list_(pa.int64()))], names=["node", "n", "f", "part"])
-
-    some = df.select(F.xxhash64(id_col).alias("k"), text_col).mapInArrow(cut, "node long, n long, f int, part array<long>")
+    stand_in = written(stand_in, "stand_in")
+    # Nodes with too many shingles that no other member has are left out before any set is kept.
+    common = common_of(sets_of(df, id_col, text_col, width, bits_of(stand_in, "k", LOG2), whole=True), percent)
+    some = members.join(common, "node", "left_semi")
+    spans = some.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
+    some = written(some.join(spans, "sig", "left_semi"), "members")
+    dropped(members)
+    members = some
+    freed(spark)
+    stand_in = stand_in.join(members.select("node").distinct(), "node", "left_semi")
+    some = sets_of(df, id_col, text_col, width, bits_of(stand_in, "k", LOG2))
     fragments = written(some.dropDuplicates(["node", "f"]), "fragments")
     freed(spark)
     roots = df.sparkSession.createDataFrame([], "node long, root long")
