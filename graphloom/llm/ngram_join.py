@@ -41,6 +41,7 @@ from .common import bits_of, components, dropped, mix, slices, within_bits, writ
 LOG2 = 24
 MASK = 2**64 - 1
 ROWS = 8  # fragments in which overlaps are counted
+CELLS = 64  # finer fragments in which overlaps are bounded
 
 
 def shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -221,24 +222,34 @@ def centres(now: DataFrame) -> DataFrame:
     return spanning.join(weight, "node").groupBy("sig").agg(first).select("sig", F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c"))
 
 
-def open_members(now: DataFrame, fragments: DataFrame, percent: int, passes: int = 2) -> DataFrame:
-    """(sig, node, c, n, common) of the groups that span components, without nodes that can't link with another open node.
+def open_members(now: DataFrame, fragments: DataFrame, percent: int, passes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(sig, node, c, n, common) and the last pass's :func:`common_of`, of the groups that span components, without nodes that can't link with another open node.
     ``common`` counts a node's shingles that another open node has too; an intersection can't be larger. Each pass counts
     anew over the nodes that the one before left."""
     for _ in range(passes):
         spans = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
         now = written(now.select("sig", "node", "c").join(spans, "sig", "left_semi"), "open")
         each = fragments.join(now.select("node").distinct(), "node", "left_semi").select("node", "n", F.explode("part").alias("x"))
-        now = now.join(common_of(each, percent), "node")
-    return now
+        common = common_of(each, percent, CELLS)
+        now = now.join(common.drop("cells"), "node")
+    return now, common
 
 
-def common_of(each: DataFrame, percent: int) -> DataFrame:
-    """(node, n, common) from (node, n, x): how many of a node's shingles another node has too, where that allows a link.
+def common_of(each: DataFrame, percent: int, cells: int = 0) -> DataFrame:
+    """(node, n, common, and with ``cells`` also that count for each cell of the hashes) from (node, n, x): how many of a node's shingles another node has too, where that allows a link.
     Rows given twice only make the count larger, which is safe."""
     same = Window.partitionBy("x")
     twice = each.withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).where("lo <> hi")
-    return written(twice.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("common")).where(f"100 * common >= {percent} * n"), "common")
+    in_cells = [F.array(*[F.count_if(F.col("x").bitwiseAND(cells - 1) == i) for i in range(cells)]).alias("cells")] if cells else []
+    return written(twice.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("common"), *in_cells).where(f"100 * common >= {percent} * n"), "common")
+
+
+def may_link(pairs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose common shingles, bounded cell by cell, are enough for a link. Cells are fragments, so the sum of the
+    smaller counts is at least the intersection."""
+    of = lambda side: common.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("cells").alias(f"k_{side}"))
+    most = F.aggregate(F.zip_with("k_a", "k_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
 
 
 def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, stars: int = 2) -> DataFrame:
@@ -277,14 +288,15 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         if turn < stars:
             pairs = now.join(centres(now), "sig").where("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
-            still = written(open_members(now, fragments, percent), "still")
+            still, common = open_members(now, fragments, percent)
+            still = written(still, "still")
             other = still.select("sig", F.col("node").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("common").alias("common_b"))
             within = f"a < b and c <> c_b and least(n, n_b) * 100 >= greatest(n, n_b) * {percent} and least(common, common_b) * {100 + percent} >= (n + n_b) * {percent}"
             pairs = still.withColumnRenamed("node", "a").join(other, "sig").where(within).select("a", "b")
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(may_link(pairs, common, percent) if turn == stars else pairs, "pairs")
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
