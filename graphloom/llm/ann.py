@@ -4,8 +4,10 @@ Equal directions are one node (whatever the number of rows). Every node starts w
 random projections, and the graph is refined: around each node its neighbours and reverse neighbours (both bounded) are
 compared with each other, and every node keeps its nearest. Nodes whose lists are saturated, all at or above the
 threshold, get longer lists; those still saturated at the longest list are compared, as a query set in blocks, with all
-nodes, which finds all their links. Recall is audited against a brute-force count for a bounded set of nodes, and further
-rounds follow while it is below the target. Kept edges are those with cosine >= threshold in double precision.
+nodes, which finds all their links. Recall over the other nodes' links is audited by brute force, on a set of nodes that
+grows until ``enough`` of their links are seen, and the target holds: where it is missed, links are sought along more
+orders, and then, or at once among few nodes, all nodes whose links aren't all known are compared with each other. Kept
+edges are those with cosine >= threshold in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
 vectors of different lengths; repeated rows link with each other; equal ids are rows of their own; a component's id is its
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import components, partitions, written
 
 BLOCK = 2048
+FEW = 1 << 16  # up to so many nodes, comparing all is cheaper than more orders
+ASKED = 8192  # nodes by which an audit grows
 
 
 def nodes_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -64,9 +68,10 @@ def by_length(lists) -> dict[int, tuple[list[int], np.ndarray]]:
     return {n: (rows, np.array([lists[i] for i in rows])) for n, rows in out.items()}
 
 
-def started(nodes: DataFrame, orders: int, width: int, seed: int) -> DataFrame:
-    """(u, v, sim): each node with the ``width`` next ones along each of ``orders`` orders: sign patterns of 12 random
-    projections, then a projection's value. Ranges of an order are read one after the other; none is gathered."""
+def started(nodes: DataFrame, orders: int, width: int, seed: int, bits: int = 12, floor: float = -2.0) -> DataFrame:
+    """(u, v, sim): each node with the ``width`` next ones along each of ``orders`` orders, where sim >= ``floor``: sign
+    patterns of ``bits`` random projections, then a projection's value. Ranges of an order are read one after the other;
+    none is gathered."""
     out = None
     for o in range(orders):
 
@@ -75,9 +80,9 @@ def started(nodes: DataFrame, orders: int, width: int, seed: int) -> DataFrame:
                 lists = b.column(1).to_pylist()
                 key, value = np.zeros(len(lists), np.int64), np.zeros(len(lists))
                 for n, (rows, x) in by_length(lists).items():
-                    r = x @ np.random.default_rng([seed, o, n]).normal(size=(n, 13))
-                    key[rows] = ((r[:, :12] > 0) << np.arange(12)).sum(1)
-                    value[rows] = r[:, 12]
+                    r = x @ np.random.default_rng([seed, o, n]).normal(size=(n, bits + 1))
+                    key[rows] = ((r[:, :bits] > 0) << np.arange(bits)).sum(1)
+                    value[rows] = r[:, bits]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key), pa.array(value)], names=["node", "v", "key", "value"])
 
         def along(batches, width=width):
@@ -91,7 +96,7 @@ def started(nodes: DataFrame, orders: int, width: int, seed: int) -> DataFrame:
                     for d in range(1, width + 1):
                         if len(rows) > d:
                             sim = np.einsum("ij,ij->i", x[:-d], x[d:])
-                            keep = rows[d:] >= fresh
+                            keep = (rows[d:] >= fresh) & (sim >= floor)
                             u.append(rows[:-d][keep])
                             w.append(rows[d:][keep])
                             s.append(sim[keep])
@@ -188,9 +193,75 @@ def against_all(queries: DataFrame, nodes: DataFrame, threshold: float) -> DataF
     return sent.groupBy("tile").cogroup(tiled.groupBy("tile")).applyInArrow(tile, "u long, v long, sim double")
 
 
-def descend(nodes: DataFrame, threshold: float, k: int, longest: int, rounds: int, target: float, audit: int, orders: int, seed: int) -> DataFrame:
-    """Edges (u, v, sim) at or above the threshold, both ways round."""
-    graph = written(nearest(started(nodes, orders, 3, seed), None, k), "graph")
+def among(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(u, v, sim), u < v or the reverse, for all pairs of ``n`` nodes at or above the threshold: nodes are dealt into
+    groups, and each two groups meet once."""
+    groups = max(1, -(-n // (4 * BLOCK)))
+    dealt = nodes.select("node", "v", F.pmod(F.xxhash64("node"), F.lit(groups)).alias("g"))
+    # Each group goes to the cells of its row and column; a cell (i, j) has i <= j.
+    cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("cell", F.least("g", "o") * groups + F.greatest("g", "o"))
+
+    def meet(frame):
+        name, group, cell = frame.column("node").to_numpy(), frame.column("g").to_numpy(), frame.column("cell")[0].as_py()
+        first = group == cell // groups
+        second = group == cell % groups
+        us, vs, ss = [], [], []
+        for rows, x in by_length(frame.column("v").to_pylist()).values():
+            rows = np.array(rows)
+            a, b = first[rows], second[rows]
+            left, right, y = name[rows[a]], name[rows[b]], x[b]
+            for lo in range(0, len(left), BLOCK):
+                sim = x[a][lo : lo + BLOCK] @ y.T
+                i, j = np.nonzero(sim >= threshold)
+                us.append(left[lo + i])
+                vs.append(right[j])
+                ss.append(sim[i, j])
+        u, v, s = (np.concatenate(z) if z else np.zeros(0) for z in (us, vs, ss))
+        other = u != v
+        return pa.table({"u": u[other].astype(np.int64), "v": v[other].astype(np.int64), "sim": s[other].astype(float)})
+
+    return cells.groupBy("cell").applyInArrow(meet, "u long, v long, sim double")
+
+
+def completed(known: DataFrame, rest: DataFrame, asked: DataFrame, truth: DataFrame, threshold: float, target: float, enough: int, seed: int, few: int) -> DataFrame:
+    """``known`` edges and those of ``rest``, the nodes whose links aren't all known, that the audited target takes.
+    ``truth`` has all links of the nodes ``asked``."""
+    rest = written(rest, "rest")
+    n = rest.count()
+    ends = rest.select("node")
+    inside = lambda e: e.join(ends.withColumnRenamed("node", "u"), "u", "left_semi").join(ends.withColumnRenamed("node", "v"), "v", "left_semi")
+    want = written(inside(truth), "want")
+    seen, parts, asked_parts = want.count(), max(1, -(-n // ASKED)), 0
+    while n > few and seen < enough and asked_parts < parts:
+        more = rest.where(F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(parts)) == asked_parts).join(asked.select("node"), "node", "left_anti")
+        want = written(want.unionByName(against_all(more, rest, threshold).where(F.col("sim") >= threshold).select("u", "v")), "want")
+        seen, asked_parts = want.count(), asked_parts + 1
+    if asked_parts == parts:
+        return known.unionByName(want)
+    if seen >= enough:
+        for turn in range(4):
+            # Both ends may have found it.
+            either = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+            if want.join(either, ["u", "v"], "left_semi").count() >= target * seen:
+                return known
+            if n <= few or turn == 3:
+                break
+            more = started(rest, 16 << turn, 16, seed + 1000 + turn, bits_for(n), threshold)
+            known = written(known.unionByName(more.select("u", "v")).distinct(), "known")
+    return known.unionByName(among(rest, n, threshold).select("u", "v"))
+
+
+def bits_for(n: int) -> int:
+    """Sign bits of an order's key: about 8 nodes for each pattern."""
+    return max(12, n.bit_length() - 3)
+
+
+def descend(nodes: DataFrame, threshold: float, k: int, longest: int, rounds: int, target: float, audit: int, orders: int, seed: int, enough: int, few: int) -> DataFrame:
+    """Edges (u, v) at or above the threshold, both ways round."""
+    n = nodes.count()
+    # The start grows with the rows.
+    grown = max(0, n.bit_length() - FEW.bit_length() + 1)
+    graph = written(nearest(started(nodes, orders + 2 * grown, 3 + grown, seed, bits_for(n)), None, k), "graph")
     sizes = None
     # A bounded audit set, compared with all nodes.
     asked = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(audit)
@@ -216,15 +287,17 @@ def descend(nodes: DataFrame, threshold: float, k: int, longest: int, rounds: in
     may = written(may.join(nodes, "node"), "saturated")
     if not may.isEmpty():
         found = found.unionByName(against_all(may, nodes, threshold).where(F.col("sim") >= threshold))
+    found = written(found.select("u", "v").distinct(), "found")
+    found = completed(found, nodes.join(may.select("node"), "node", "left_anti"), asked, truth, threshold, target, enough, seed, few)
     both = found.select("u", "v").unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
     return written(both.distinct(), "near")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, k: int = 12, longest: int = 48, rounds: int = 8, target: float = 0.995, audit: int = 512, orders: int = 6, seed: int = 5) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, k: int = 12, longest: int = 48, rounds: int = 8, target: float = 0.995, audit: int = 512, orders: int = 6, seed: int = 5, enough: int = 400, few: int = FEW) -> DataFrame:
     """One row for each row of ``df``: its id, n_links, component_id, kept."""
     rows = written(nodes_of(df, id_col, vector_col), "vectors")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("v").alias("v"), F.count("*").alias("size")), "nodes")
-    edges = descend(nodes.select("node", "v"), threshold, k, longest, rounds, target, audit, orders, seed)
+    edges = descend(nodes.select("node", "v"), threshold, k, longest, rounds, target, audit, orders, seed, enough, few)
     roots = components(edges, "u", "v")
     size = nodes.select(F.col("node").alias("v"), "size")
     links = edges.join(size, "v").groupBy(F.col("u").alias("node")).agg(F.sum("size").alias("others"))
