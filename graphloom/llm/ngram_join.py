@@ -124,17 +124,17 @@ def segments(s: np.ndarray, scheme: Scheme) -> np.ndarray:
 
 
 def narrow_of(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, node) without the sets: they are made anew from the texts where needed, which is cheaper than keeping them."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
+    """(id, t, n, node), t a hash of the text, without the sets: they are made anew from the texts where needed, which is cheaper than keeping them."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("t", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in slices(texts):
                 found = shingles(texts[lo:hi], width)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(x) for x in found], pa.int64()), pa.array([node_of(x) for x in found], pa.int64())], names=["id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([len(x) for x in found], pa.int64()), pa.array([node_of(x) for x in found], pa.int64())], names=["id", "t", "n", "node"])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col, F.xxhash64(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def node_of(s: np.ndarray) -> int | None:
@@ -252,9 +252,8 @@ def may_link(pairs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
 
 
-def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, stars: int = 2) -> DataFrame:
-    """One row for each row of ``df``: its id, n_shingles and component_id. Two texts link when
-    100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles."""
+def rooted(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, stars: int) -> DataFrame:
+    """(id, t, n, c) for each row of ``df``: its key, its number of shingles and its component."""
     spark = df.sparkSession
     rows = written(narrow_of(df, id_col, text_col, width), "rows")
     # Signatures that two different sets share, by 48 of their bits; the smallest and largest node tell that without a list
@@ -306,20 +305,34 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         freed(spark)
     dropped(fragments)
     rows = rows.join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    return rows
+
+
+def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, stars: int = 2) -> DataFrame:
+    """One row for each row of ``df``: its id, n_shingles and component_id. Two texts link when
+    100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles."""
+    rows = rooted(df, id_col, text_col, width, percent, stars)
     low = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("low"))
     # A hot component is one row on the right; AQE splits the left side.
     return rows.join(low, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``df`` without near copies: of each component the row of the smallest id stays. Of rows that repeat an id that
-    stays, one stays (the one whose text sorts first); texts without shingles all stay, but for repeated ids."""
-    rows = written(clusters(df, id_col, text_col, **how), "clusters")
-    gone = rows.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    left = df.join(gone, df[id_col].eqNullSafe(gone["__id"]), "left_anti")
-    twice = rows.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id")
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, stars: int = 2) -> DataFrame:
+    """``df`` without near copies: of each component one row stays, of the smallest id (null ids count as largest), then
+    text hash. Rows are told apart by id and text, so other texts under the same id, or under null, stay; texts without
+    shingles all stay."""
+    rows = written(rooted(df, id_col, text_col, width, percent, stars).where("n > 0").select("id", "t", "c"), "rooted")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "t")
+    stay = rows.groupBy("c").agg(F.min(key).alias("stay"))
+    # A hot component is one row on the right; AQE splits the left side.
+    gone = rows.join(stay, "c").where(~key.eqNullSafe(F.col("stay"))).select(F.col("id").alias("__id"), F.col("t").alias("__u")).distinct()
+    twice = written(rows.groupBy(F.col("id").alias("__id"), F.col("t").alias("__u")).count().where("count > 1").select("__id", "__u"), "twice")
+    keyed = df.withColumn("__t", F.xxhash64(text_col))
+    same = lambda left, right: left[id_col].eqNullSafe(right["__id"]) & (left["__t"] == right["__u"])
+    left = keyed.join(gone, same(keyed, gone), "left_anti")
     if twice.isEmpty():
-        return left
-    again = left.join(twice, left[id_col].eqNullSafe(twice["__id"]), "left_semi")
-    first = again.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("__n = 1").drop("__n")
-    return left.join(twice, left[id_col].eqNullSafe(twice["__id"]), "left_anti").unionByName(first)
+        return left.drop("__t")
+    again = left.join(twice, same(left, twice), "left_semi")
+    # Rows of equal id and equal text: one stays.
+    first = again.groupBy(F.col(id_col).alias("__id"), "__t").agg(F.min(F.struct(*df.columns)).alias("row")).select("row.*")
+    return left.join(twice, same(left, twice), "left_anti").drop("__t").unionByName(first)

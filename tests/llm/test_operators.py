@@ -90,6 +90,13 @@ def test_representatives_keep_one_of_each(docs):
     assert ngram_join.representatives(docs).columns == docs.columns
 
 
+def test_representatives_drop_rows_not_ids(spark):
+    base, other = text(50, 60), text(51, 60)
+    rows = [(1, base), (None, base), (None, other), (None, text(52, 60)), (2, base), (2, text(53, 60)), (3, text(54, 60)), (3, text(55, 60)), (3, text(55, 60)), (4, None), (4, None), (None, "")]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, base), (None, other), (None, text(52, 60)), (2, text(53, 60)), (3, text(54, 60)), (3, text(55, 60)), (4, None), (4, None), (None, "")])
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 200), (200, 300)], "a long, b long")
     got = dict(rows_of(components(e)))
