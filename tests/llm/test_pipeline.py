@@ -33,3 +33,13 @@ def test_stages(spark):
     rows = seen["sentencepiece"].collect()
     assert Counter(r.doc_id for r in rows) == ids["mixing"]
     assert all(sp_sampling.decode(v, r.ids) == texts[r.doc_id] and r.exact for r in rows)
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(400)]
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    rows = [(0, " ".join(words[:100])), (1, " ".join(words[:122])), (2, " ".join(words[200:300])), (3, " ".join(words[200:330]))]
+    alike = {(i, j) for i, t in rows for j, u in rows if i < j and 100 * len(sets(t) & sets(u)) >= 80 * len(sets(t) | sets(u))}
+    assert alike == {(0, 1)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.without_copies(spark, docs, SF).collect()} == {0, 2, 3}
