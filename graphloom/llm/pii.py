@@ -38,7 +38,7 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 LOOSE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+"),
     "phone": re.compile(r"(?:\([0-9]{2,4}\) ?|(?<![0-9.+(])[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,4}(?![0-9])"),
-    "secret": re.compile(r"(?<![0-9A-Za-z])[A-Fa-f0-9]{24,128}(?![0-9A-Za-z])|(?<![A-Za-z])(?:[Pp]assword|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey)s?[\"']? ?[:=] ?[\"']?([^\s\"',;]{6,128})"),
+    "secret": re.compile(r"(?<![0-9A-Za-z])[A-Fa-f0-9]{24,}(?![0-9A-Za-z])|(?<![A-Za-z])(?:[Pp]assword|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey)s?[\"']? ?[:=] ?[\"']?([^\s\"',;]{6,})"),
 }
 #: Cue words by kind, and known endings, first digits and key names.
 CUES = {

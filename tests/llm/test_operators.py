@@ -218,6 +218,11 @@ def test_pii_digests_and_mask(docs):
     assert all(0 < a < 1 and 0 < b < 1 for a, b in model.reliability.values())
 
 
+def test_long_secrets_are_whole_spans():
+    for t, start in (("token=" + "aB3" * 100, 6), ("key " + "0f" * 150, 4)):
+        assert [(s, e) for s, e, k, _ in pii.candidates(t, []) if k == "secret"] == [(start, len(t))]
+
+
 def test_labelers_learn_their_reliability():
     rng = np.random.default_rng(0)
     cells = Counter()
