@@ -80,7 +80,7 @@ def with_marginals(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             units = [" " + w.decode("utf-8", "surrogatepass") for w in b.column(0).to_pylist()]
             total = [np.zeros(0)]
             for lo, hi in slices(units, 400_000):
-                total.append(Lattice(v, units[lo:hi]).total)
+                total.append(Lattice.of(v, units[lo:hi]).total)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(total))], names=[*b.schema.names, "marginal"])
 
     return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("marginal", T.DoubleType())]))

@@ -305,8 +305,8 @@ def vocabulary():
 
 
 def test_lattice_sums_all_segmentations(vocabulary):
-    units = [" hello", " internationalization", "a", "\n", " ", " naïve▁x", "🙂🙂", " ththtion"]
-    for u, got in zip(units, Lattice(vocabulary, units).total, strict=True):
+    units = [" hello", " internationalization", "a", "\n", " ", " naïve▁x", "🙂🙂", " ththtion", "    x", "     "]
+    for u, got in zip(units, Lattice.of(vocabulary, units).total, strict=True):
         assert got == pytest.approx(naive_segmentations(vocabulary, u))
 
 
@@ -350,18 +350,65 @@ def test_sampling_is_exact_and_decodes(docs, vocabulary):
     assert sp_sampling.encode(empty(docs)).count() == 0
 
 
-def test_sample_frequencies(vocabulary):
-    n = 6000
-    got = sp_sampling.encode_many(vocabulary, ["thnd"] * n, np.arange(n, dtype=np.uint64) * np.uint64(7919), 2)
-    first = Counter(tuple(r[0][0].tolist()) for r in got)
-    second = Counter(tuple(r[1][0].tolist()) for r in got)
-    p = {k: math.exp(next(r[0][1] for r in got if tuple(r[0][0].tolist()) == k)) for k in first}
-    assert all(abs(first[k] / n - p[k]) < 0.02 for k in first)
-    top = max(p, key=p.get)
-    for k, c in second.most_common(2):
-        if k != top:
-            q = next(r[1][1] for r in got if tuple(r[1][0].tolist()) == k)
-            assert abs(c / n - math.exp(q) / (1 - p[top]) * p[top]) < 0.03
+def samples(vocabulary, texts, keys, k):
+    """For each text its samples: (ids, log_prob, perturbed, inclusion)."""
+    n, ids, n_ids, *numbers, exact = sp_sampling.encode_many(vocabulary, texts, np.array(keys, np.uint64) * np.uint64(0x9E3779B97F4A7C15), k)
+    assert exact.all()
+    cut = np.split(ids, np.cumsum(n_ids)[:-1])
+    flat = [(tuple(i.tolist()), *x) for i, *x in zip(cut, *(c.tolist() for c in numbers), strict=True)]
+    ends = np.cumsum(n)
+    return [flat[e - m : e] for e, m in zip(ends, n, strict=True)]
+
+
+def all_segmentations(v, s):
+    """Every segmentation of a text and its probability, by recursion."""
+    ids = {b: i for i, b in enumerate(v.pieces) if b and i not in set(v.byte_ids.tolist())}
+
+    def rest(t):
+        if not t:
+            return [((), 0.0)]
+        out = [((ids[t[:n].encode()], *more), v.log_p[ids[t[:n].encode()]] + lp) for n in range(1, len(t) + 1) if t[:n].encode() in ids for more, lp in rest(t[n:])]
+        if t[0].encode() not in ids:
+            b = v.byte_ids[list(t[0].encode())]
+            out += [((*b.tolist(), *more), len(b) * v.byte_log_p + lp) for more, lp in rest(t[1:])]
+        return out
+
+    found = rest(" " + s)
+    total = np.logaddexp.reduce([lp for _, lp in found])
+    return {p: math.exp(lp - total) for p, lp in found}
+
+
+def test_top_k_against_all_segmentations(vocabulary):
+    t, n = "thn  é", 8000
+    p = all_segmentations(vocabulary, t)
+    assert len(p) > 10
+    got = samples(vocabulary, [t] * n, range(n), 2)
+    assert all(math.exp(lp) == pytest.approx(p[i], rel=1e-6) for r in got for i, lp, *_ in r)
+    assert all(r[0][2] > r[1][2] and 0 < r[0][3] <= 1 for r in got)
+    first, second = Counter(r[0][0] for r in got), Counter(r[1][0] for r in got)
+    for s in p:
+        assert abs(first[s] / n - p[s]) < 0.02
+        after = sum(p[o] * p[s] / (1 - p[o]) for o in p if o != s)  # drawn second, without replacement
+        assert abs(second[s] / n - after) < 0.02
+    # Sums of 1 / inclusion over the samples estimate the number of segmentations; of p / inclusion, one.
+    assert np.mean([sum(math.exp(lp) / inc for _, lp, _, inc in r) for r in got]) == pytest.approx(1, abs=0.02)
+    few = all_segmentations(vocabulary, "é")
+    assert [len(r) for r in samples(vocabulary, ["é", ""], [1, 2], 50)] == [len(few), 1]
+    assert {i for i, *_ in samples(vocabulary, ["thn"], [5], 500)[0]} == set(all_segmentations(vocabulary, "thn"))
+
+
+def test_samples_depend_on_key_and_text_alone(vocabulary):
+    t, others = "some words that stand here, thn 12  x\n\nend é🙂", [text(60 + i, 30) for i in range(20)]
+    alone = [samples(vocabulary, [t], [k], 3)[0] for k in range(100)]
+    assert alone == samples(vocabulary, [t] * 100, range(100), 3)
+    mixed = samples(vocabulary, [*others, *[t] * 100, *others], [*range(500, 520), *range(100), *range(600, 620)], 3)
+    assert alone == mixed[20:120]
+
+
+def test_long_words_are_sampled_whole(vocabulary):
+    for t in ("a" * 100_000, " " * 20_000, "é" * 20_000 + "\n" * 5):
+        (r,) = samples(vocabulary, [t], [1], 2)
+        assert [sp_sampling.decode(vocabulary, s[0]) for s in r] == [t, t]
 
 
 # 10
