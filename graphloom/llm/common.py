@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,16 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where none is (tests, local use)."""
+    """The folder of spark.checkpoint.dir, or the one that the session was given by setCheckpointDir. Where neither is set, a
+    session on one machine (tests, local use) gets a temporary one; a cluster must name a folder that all machines share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    context = spark.sparkContext
+    if not folder and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return folder or context._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +50,16 @@ def dropped(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns: list[str], *names: str) -> str | list[str]:
+    """Names for inner columns, made from ``names``, that none of ``columns`` has in any case."""
+    had = {c.lower() for c in columns}
+    tail = "__"
+    while any((n + tail).lower() in had for n in names):
+        tail += "_"
+    out = [n + tail for n in names]
+    return out if len(out) > 1 else out[0]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -461,3 +461,54 @@ def test_toxicity_learns_and_is_blind_to_other_columns(spark, docs):
     none = toxicity.train(df, y.limit(0))
     assert toxicity.score(df, none).where("score > 0.001").count() == 0
     assert toxicity.score(empty(df), model).count() == 0
+
+
+def test_convolution_and_its_gradients():
+    rng = np.random.default_rng(4)
+    f = 3
+    m = toxicity.ConvModel(rng.normal(size=(9, 4)), rng.normal(size=(4, f * 6)), rng.normal(size=f * 3), rng.normal(size=f * 3), 0.3, filters=f)
+    texts = [[1, 2, 3, 0, 0], [4, 0, 0], [0, 0], [2, 5, 5, 1, 2, 0, 0]]
+    t, at, y = np.concatenate(texts), np.cumsum([0] + [len(x) for x in texts[:-1]]), np.array([1.0, 0, 1, 0])
+    vec = rng.normal(size=(6, 4))
+    vec[0] = 0
+
+    def loss(m, vec):
+        total = 0.0
+        for x, label in zip(texts, y, strict=True):
+            hidden, k = [], 0
+            for j, width in enumerate(toxicity.WIDTHS):
+                for c in range(f):
+                    best = max(sum((vec[x[i + d]] @ m.conv[:, k + d * f + c]) if i + d < len(x) else 0.0 for d in range(width)) + m.conv_b[j * f + c] for i in range(len(x)))
+                    hidden.append(max(0.0, best))
+                k += width * f
+            z = float(np.array(hidden) @ m.out + m.out_b)
+            total += math.log1p(math.exp(-z)) if label else math.log1p(math.exp(z))
+        return total / len(y)
+
+    got, g = toxicity.gradients(m, vec, t, at, y)
+    assert got == pytest.approx(loss(m, vec))
+    for name in ("conv", "conv_b", "out", "vec"):
+        x = vec if name == "vec" else getattr(m, name)
+        for i in list(np.ndindex(*x.shape))[(name == "vec") * 4 :]:
+            was, step = x[i], 1e-6
+            x[i] = was + step
+            up = loss(m, vec)
+            x[i] = was - step
+            slope = (up - loss(m, vec)) / (2 * step)
+            x[i] = was
+            assert g[name][i] == pytest.approx(slope, abs=1e-6), (name, i)
+    m.out_b += 1e-6
+    assert g["out_b"] == pytest.approx((loss(m, vec) - got) / 1e-6, abs=1e-4)
+
+
+def test_toxicity_bounds_its_training_rows(spark, docs):
+    rows = [(i, text(3000 + i, 30), "x") for i in range(60)] + [(None, "x", None)] + [(1, text(9, 40), None)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, Score string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, toxic int")
+    for how in ({"most_each": 5}, {"most_words": 100}, {"most_words": 0}):
+        model = toxicity.train(df, y, **how)
+        out = toxicity.score(df, model, keep=["doc_id", "Score"])
+        assert out.columns == ["doc_id", "score", "predicted", "threshold", "flagged"] and out.count() == len(rows)
+    assert toxicity.score(df, model, drop_toxic=True).columns == df.columns
+    again = toxicity.unpacked(toxicity.packed(model))
+    assert vars(again).keys() == vars(model).keys() and again.by_lang == model.by_lang and (again.emb == model.emb).all()
