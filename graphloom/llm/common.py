@@ -110,21 +110,31 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def bits_of(df: DataFrame, col: str, log2_bits: int = 23, parts: int = 8) -> np.ndarray:
-    """A bit filter of fixed size (2**log2_bits bits) of a long column; ``parts`` maps of that size reach the driver,
-    however many rows there are. False positives grow with the rows, so readers must join exactly afterwards."""
+def bits_of(df: DataFrame, col: str, most: int = 27) -> np.ndarray:
+    """A bit filter of a long column, eight bits a row or more up to 2**most bits, which bounds what the driver gets and
+    sends. Its slices are filled where the rows are dealt by place, each in one task. False positives grow beyond
+    2**most / 8 rows, so readers must join exactly afterwards."""
+    log2 = min(most, max(16, (8 * df.count()).bit_length()))
+    low = log2 - 6  # 64 slices
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(places(b.column(0).to_numpy(zero_copy_only=False), log2)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> low).astype(np.int32)), pa.array((at & ((1 << low) - 1)).astype(np.int32))], names=["part", "place"])
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << log2_bits, bool)
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
         for b in batches:
-            for place in places(b.column(0).to_numpy(zero_copy_only=False), log2_bits):
-                bits[place] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            part, place = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k in np.unique(part).tolist():
+                own.setdefault(k, np.zeros(1 << low, bool))[place[part == k]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(x).tobytes() for x in own.values()], pa.binary())], names=["part", "bits"])
 
-    out = np.zeros(1 << log2_bits >> 3, np.uint8)
-    for row in df.select(col).repartition(parts).mapInArrow(fold, "bits binary").toLocalIterator():
-        out |= np.frombuffer(bytes(row[0]), np.uint8)
-    return out
+    out = np.zeros((64, 1 << low >> 3), np.uint8)
+    slices_ = df.select(col).mapInArrow(placed, "part int, place int").repartition(min(64, partitions(df.sparkSession)), "part").mapInArrow(filled, "part int, bits binary")
+    for r in slices_.collect():
+        out[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
+    return out.ravel()
 
 
 def places(x: np.ndarray, log2_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +142,8 @@ def places(x: np.ndarray, log2_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - log2_bits)).astype(np.int64), (h & np.uint64((1 << log2_bits) - 1)).astype(np.int64)
 
 
-def within_bits(bits: np.ndarray, x: np.ndarray, log2_bits: int = 23) -> np.ndarray:
-    a, b = places(x, log2_bits)
+def within_bits(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    a, b = places(x, len(bits).bit_length() + 2)
     return ((bits[a >> 3] >> (7 - (a & 7)) & 1) & (bits[b >> 3] >> (7 - (b & 7)) & 1)).astype(bool)
 
 

@@ -6,11 +6,13 @@ replacement: documents are ranked by random odds divided by inclusion odds, (u /
 the smallest rank until the words reach what is left of the target. u comes from the id's hash, so reruns agree.
 
 A hot source never meets in one task: words are first summed by source and 4,096 classes of rank, the class in which
-the target is reached is found on those sums, and only that class is ranked row by row.
+the target is reached is found on those sums and cut into 4,096 parts in the same way, and only the part in which the
+target is reached is ranked row by row.
 
-Defined results: null texts have the size 0; null sources form one source, last in order; rows of equal id share one
-rank and are taken together; an empty table gives an empty result; other columns pass through unread. A source without
-words has the target 0 and is not taken.
+Defined results: null texts have the size 0; texts are counted whole; null sources form one source, last in order; rows of
+equal id (or without one) are ordered by a hash of their text, and rows of equal id and text are taken together; an empty
+table gives an empty result. A source without words has the target 0 and is not taken. Other columns pass through unread
+under any name; :func:`mixed` replaces those named like its own new ones.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, fresh, written
 
 CLASSES = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -54,48 +56,75 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     return s.withColumn("whole", whole).select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"))
 
 
-def ranked(rows: DataFrame, id_col: str, seed: int, odds_col: str | None) -> DataFrame:
-    """Adds rank and its class to rows that have source_size and left; ``odds_col`` multiplies the inclusion
-    probability of a row (1 if null or absent)."""
-    share = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.when(F.col("source_size") > 0, F.col("left") / F.col("source_size")).otherwise(F.lit(0.0))))
+def tie(text: Column) -> Column:
+    """A number below 2**60 from the md5 of a text, by which rows of one rank are ordered."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def rank_of(id_col: str, seed: int, size_col: str, left_col: str, odds_col: str | None) -> tuple[Column, Column]:
+    """A row's rank, and its place among CLASSES ** 2 classes of rank that are of even size where inclusion odds are
+    equal. ``odds_col`` multiplies the inclusion probability of a row (1 if null or absent)."""
+    share = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.when(F.col(size_col) > 0, F.col(left_col) / F.col(size_col)).otherwise(F.lit(0.0))))
     p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), share * F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)))) if odds_col else share
     u = uniform(id_col, seed)
     rank = (u / (1 - u)) / (p / (1 - p))
-    even = rank * (share / (1 - share))  # of equal inclusion odds this is u's own odds: classes of even size
-    return rows.withColumn("__rank", rank).withColumn("__class", F.floor(even / (1 + even) * CLASSES).cast("int"))
+    even = rank * (share / (1 - share))
+    return rank, F.floor(even / (1 + even) * CLASSES * CLASSES).cast("long")
+
+
+def edge(rows: DataFrame, part: Column) -> DataFrame:
+    """The rows of the part of each source in which the target is reached, ``before`` being the words of the parts below.
+    Only sums by part are sorted."""
+    rows = rows.withColumn("part", part)
+    sums = rows.groupBy("source", "left", "before", "part").agg(F.sum("size").alias("n"))
+    through = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("upto", F.col("before") + F.sum("n").over(through)).withColumn("below", F.col("upto") - F.col("n"))
+    reached = sums.where((F.col("below") < F.col("left")) & (F.col("n") > 0)).groupBy("source").agg(F.max(F.struct("part", "below")).alias("e")).select(F.col("source").alias("s"), F.col("e.part").alias("p"), F.col("e.below").alias("below"))
+    return rows.join(reached, rows["source"].eqNullSafe(reached["s"]) & (rows["part"] == reached["p"])).withColumn("before", F.col("below")).drop("s", "p", "below", "part")
 
 
 def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, odds_col: str | None = None) -> DataFrame:
-    """The mix's plan: (source, source_size, target, whole, cut), one row for each source. A document is taken ``whole``
-    times, and once more if its rank is at most ``cut`` (null: none)."""
+    """The mix's plan: (source, source_size, target, whole, left, cut), one row for each source. A document is taken
+    ``whole`` times, and once more if its (rank, tie) is at most ``cut`` (null: none)."""
     odds = [F.col(odds_col).alias("odds")] if odds_col else []
-    sized = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *odds), "mix_sizes")
+    sized = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), tie(F.col(text_col)).alias("tie"), *odds), "mix_sizes")
     per = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "mix_targets")
-    rows = ranked(sized.join(per, sized["source"].eqNullSafe(per["source"])).drop(sized["source"]), "id", seed, "odds" if odds_col else None)
-    sums = rows.groupBy("source", "left", "__class").agg(F.sum("size").alias("n"))
-    through = Window.partitionBy("source").orderBy("__class")
-    reached = sums.withColumn("upto", F.sum("n").over(through)).withColumn("before", F.col("upto") - F.col("n")).where((F.col("before") < F.col("left")) & (F.col("n") > 0))
-    edge = reached.groupBy("source").agg(F.max(F.struct("__class", "before")).alias("edge")).select(F.col("source").alias("s"), F.col("edge.__class").alias("c"), F.col("edge.before").alias("before"))
-    near = rows.join(edge, rows["source"].eqNullSafe(edge["s"]) & (rows["__class"] == edge["c"]))
-    by_rank = Window.partitionBy("source").orderBy("__rank")
-    tied = near.groupBy("source", "left", "before", "__rank").agg(F.sum("size").alias("n")).withColumn("upto", F.col("before") + F.sum("n").over(by_rank))
-    # A row is in if that brings the words nearer to the target than stopping before it.
-    inside = tied.where(2 * F.col("upto") - F.col("n") < 2 * F.col("left")).groupBy("source").agg(F.max("__rank").alias("last"))
-    # If no row of the edge class is in, the cut is the class's lower end, below all of its rows.
-    lower = near.groupBy("source").agg(F.min("__rank").alias("lowest"))
-    cuts = lower.join(inside, lower["source"].eqNullSafe(inside["source"]), "left").select(lower["source"].alias("s"), F.coalesce("last", F.col("lowest") * (1 - 2.0**-52)).alias("cut"))
-    return written(per.join(cuts, per["source"].eqNullSafe(cuts["s"]), "left").drop("s"), "mix_plan")
+    rank, place = rank_of("id", seed, "source_size", "left", "odds" if odds_col else None)
+    rows = sized.join(per, sized["source"].eqNullSafe(per["source"])).drop(sized["source"]).withColumns({"rank": rank, "place": place, "before": F.lit(0).cast("long")})
+    near = edge(edge(rows, F.expr(f"place div {CLASSES}")), F.col("place")).select("source", "left", "before", F.struct("rank", "tie").alias("key"), "size")
+    by_key = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    tied = near.groupBy("source", "left", "before", "key").agg(F.sum("size").alias("n")).withColumn("upto", F.col("before") + F.sum("n").over(by_key))
+    # A row is in if that brings the words nearer to the target than stopping before it. If none is, the cut is the lower
+    # end, below all of these rows.
+    last = F.max(F.when(2 * F.col("upto") - F.col("n") < 2 * F.col("left"), F.col("key")))
+    low = F.min("key")
+    cuts = tied.groupBy("source").agg(last.alias("last"), low.alias("low")).select(F.col("source").alias("s"), F.coalesce("last", F.struct((F.col("low.rank") * (1 - 2.0**-52)).alias("rank"), F.col("low.tie").alias("tie"))).alias("cut"))
+    out = written(per.join(cuts, per["source"].eqNullSafe(cuts["s"]), "left").drop("s"), "mix_plan")
+    dropped(sized, per)
+    return out
+
+
+def taken(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: int, seed: int, odds_col: str | None) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the plan's columns and ``copies`` under names that ``df`` doesn't have, and those names. The plan is
+    joined by Spark's choice, by size (one row for each source)."""
+    p = plan(df, id_col, text_col, source_col, weights, cap, seed, odds_col)
+    new = [*p.columns, "copies"]
+    name = dict(zip(new, fresh(df.columns, *new), strict=True))
+    p = p.toDF(*(name[c] for c in p.columns))
+    rank, _ = rank_of(id_col, seed, name["source_size"], name["left"], odds_col)
+    inside = F.struct(rank.alias("rank"), tie(F.col(text_col)).alias("tie")) <= F.col(name["cut"])
+    rows = df.join(p, df[source_col].eqNullSafe(p[name["source"]]))
+    return rows.withColumn(name["copies"], F.col(name["whole"]) + F.coalesce(inside.cast("long"), F.lit(0))), name
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, odds_col: str | None = None) -> DataFrame:
-    """``df`` with __size, __copies and the plan's source_size and target. The plan is joined by Spark's choice, by size
-    (one row for each source)."""
-    p = plan(df, id_col, text_col, source_col, weights, cap, seed, odds_col).withColumnRenamed("source", "__s")
-    rows = df.join(p, df[source_col].eqNullSafe(p["__s"]))
-    rows = ranked(rows, id_col, seed, odds_col)
-    return rows.withColumn("__copies", F.col("whole") + F.coalesce((F.col("__rank") <= F.col("cut")).cast("long"), F.lit(0))).withColumn("__size", n_words(F.col(text_col))).drop("__s", "whole", "left", "cut", "__rank", "__class")
+    """``df`` with __size, __copies and the plan's source_size and target."""
+    rows, name = taken(df, id_col, text_col, source_col, weights, cap, seed, odds_col)
+    new = {"source_size": F.col(name["source_size"]), "target": F.col(name["target"]), "__copies": F.col(name["copies"]), "__size": n_words(F.col(text_col))}
+    return rows.select(*(c for c in df.columns if c.lower() not in new), *(x.alias(n) for n, x in new.items()))
 
 
-def repeated(df: DataFrame, **how) -> DataFrame:
+def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, odds_col: str | None = None) -> DataFrame:
     """The mix itself: rows of ``df`` with its own columns, each as often as it is taken."""
-    return mixed(df, **how).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*df.columns)
+    rows, name = taken(df, id_col, text_col, source_col, weights, cap, seed, odds_col)
+    return rows.select(*df.columns, F.explode(F.array_repeat(F.lit(1), F.col(name["copies"]).cast("int"))).alias(name["copies"])).drop(name["copies"])

@@ -13,14 +13,15 @@ Components need no list of all pairs. In each round, each group of equal segment
 its members against one of them (a star), which is linear in the group; links join components. The centre is the member
 that shares most with other components, mostly the text that the others are copies of. After ``stars`` rounds the groups
 that still span components are settled exactly: every pair across components that no round has tested and whose sizes
-and counts of shared shingles allow a link. (A shingle that no other open node has is in no intersection, so nodes with
-too many of them link with nothing; they leave the groups at the start, and again before this step.) So no link between different components is lost, and the work
-within a group of near copies is far below its pairs.
+and shared shingles, bounded cell by cell of the order, allow a link; a pair comes out at the smallest signature that it
+shares, and large groups are dealt in blocks to many tasks. (A shingle that no other open node has is in no intersection,
+so nodes with too many of them link with nothing; they leave the groups at the start, and again before this step.) So no
+link between different components is lost, and what comes out of a group of near copies is far below its pairs.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; texts with fewer words than
-a shingle are one shingle; equal sets are one node, whatever the number of rows; repeated ids are rows of their own; a
-component's id is its smallest id (null ids count as largest); an empty table gives an empty result; other columns aren't
-read.
+a shingle are one shingle; texts are read whole, whatever their length; equal sets are one node, whatever the number of
+rows; repeated ids are rows of their own; a component's id is its smallest id (null ids count as largest); an empty table
+gives an empty result. :func:`clusters` reads no other columns; :func:`representatives` passes them through under any name.
 """
 
 from __future__ import annotations
@@ -32,16 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bits_of, components, dropped, mix, slices, within_bits, written
+from .common import bits_of, components, dropped, fresh, mix, slices, within_bits, written
 
-LOG2 = 24
 MASK = 2**64 - 1
 ROWS = 8  # fragments in which overlaps are counted
 CELLS = 64  # finer fragments in which overlaps are bounded
+HEAD = 32  # a node's smallest signatures, by which a pair is told to be at its smallest shared one
+BLOCK = 512  # members of a large group that meet those of another block in one task
 
 
 def shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -142,9 +144,8 @@ def node_of(s: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None
 
 
-def signatures(df: DataFrame, text_col: str, width: int, percent: int, bits: np.ndarray | None = None) -> DataFrame:
-    """(sig, node) of all sets, or of those signatures that a bit filter of their upper 48 bits lets through."""
-    b_b = df.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
+def signatures(df: DataFrame, text_col: str, width: int, percent: int, b_b=None) -> DataFrame:
+    """(sig, node) of all sets, or of those signatures that a broadcast bit filter of their upper 48 bits lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
@@ -156,21 +157,20 @@ def signatures(df: DataFrame, text_col: str, width: int, percent: int, bits: np.
                 node = np.repeat(np.array([node_of(s) for s in found], np.int64), [len(x) for x in sig])
                 sig = np.concatenate(sig) if sig else np.zeros(0, np.int64)
                 if b_b is not None:
-                    ok = within_bits(b_b.value, sig >> 16, LOG2)
+                    ok = within_bits(b_b.value, sig >> 16)
                     sig, node = sig[ok], node[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], names=["sig", "node"])
 
     return df.select(text_col).mapInArrow(run, "sig long, node long")
 
 
-def sets_of(df: DataFrame, id_col: str, text_col: str, width: int, bits: np.ndarray, whole: bool = False) -> DataFrame:
-    """The sets of the rows whose hashed id a bit filter lets through: (node, n, f, part) by fragments of the hashes' own
-    order, or (node, n, x) by shingle where ``whole``."""
-    b_b = df.sparkSession.sparkContext.broadcast(bits)
+def sets_of(df: DataFrame, id_col: str, text_col: str, width: int, b_b, whole: bool = False) -> DataFrame:
+    """The sets of the rows whose hashed id a broadcast bit filter lets through: (node, n, f, part) by fragments of the
+    hashes' own order, or (node, n, x) by shingle where ``whole``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(within_bits(b_b.value, b.column(0).to_numpy(), LOG2)))
+            b = b.filter(pa.array(within_bits(b_b.value, b.column(0).to_numpy())))
             texts = b.column(1).to_pylist()
             for lo, hi in slices(texts):
                 sets = [s for s in shingles(texts[lo:hi], width) if len(s)]
@@ -222,88 +222,122 @@ def centres(now: DataFrame) -> DataFrame:
     return spanning.join(weight, "node").groupBy("sig").agg(first).select("sig", F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c"))
 
 
-def open_members(now: DataFrame, fragments: DataFrame, percent: int, passes: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(sig, node, c, n, common) and the last pass's :func:`common_of`, of the groups that span components, without nodes that can't link with another open node.
-    ``common`` counts a node's shingles that another open node has too; an intersection can't be larger. Each pass counts
-    anew over the nodes that the one before left."""
-    for _ in range(passes):
-        spans = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-        now = written(now.select("sig", "node", "c").join(spans, "sig", "left_semi"), "open")
-        each = fragments.join(now.select("node").distinct(), "node", "left_semi").select("node", "n", F.explode("part").alias("x"))
-        common = common_of(each, percent, CELLS)
-        now = now.join(common.drop("cells"), "node")
-    return now, common
+def in_cells() -> Column:
+    """How many of a group's shingles x are in each cell of the order (by the hashes' lowest bits)."""
+    return F.array(*[F.count_if(F.col("x").bitwiseAND(CELLS - 1) == i) for i in range(CELLS)])
 
 
-def common_of(each: DataFrame, percent: int, cells: int = 0) -> DataFrame:
-    """(node, n, common, and with ``cells`` also that count for each cell of the hashes) from (node, n, x): how many of a node's shingles another node has too, where that allows a link.
-    Rows given twice only make the count larger, which is safe."""
-    same = Window.partitionBy("x")
-    twice = each.withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).where("lo <> hi")
-    in_cells = [F.array(*[F.count_if(F.col("x").bitwiseAND(cells - 1) == i) for i in range(cells)]).alias("cells")] if cells else []
-    return written(twice.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("common"), *in_cells).where(f"100 * common >= {percent} * n"), "common")
+def common_of(each: DataFrame, sizes: DataFrame, percent: int, cells: bool = False) -> DataFrame:
+    """(node, n, common, and with ``cells`` also that count for each cell) from (node, x) and (node, n): how many of a
+    node's shingles another node of ``each`` has too, where that allows a link. Shingles of one node are counted, by sums
+    that are taken before anything is sent, so a shingle that all have is one row."""
+    more = [in_cells().alias("own_cells")] if cells else []
+    own = each.groupBy("x").agg(F.min("node").alias("node"), F.max("node").alias("hi")).where("node = hi").groupBy("node").agg(F.count("*").alias("own"), *more)
+    got = sizes.join(own, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(f"100 * common >= {percent} * n")
+    if cells:
+        got = got.join(each.groupBy("node").agg(in_cells().alias("cells")), "node")
+        got = got.withColumn("cells", F.when(F.col("own") > 0, F.zip_with("cells", "own_cells", lambda x, y: x - y)).otherwise(F.col("cells")))
+    return written(got.select("node", "n", "common", *["cells"] * cells), "common")
 
 
-def may_link(pairs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose common shingles, bounded cell by cell, are enough for a link. Cells are fragments, so the sum of the
-    smaller counts is at least the intersection."""
-    of = lambda side: common.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("cells").alias(f"k_{side}"))
-    most = F.aggregate(F.zip_with("k_a", "k_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
+def open_members(now: DataFrame, fragments: DataFrame, percent: int, passes: int = 2) -> DataFrame:
+    """(sig, node, c, n, common, cells) of the groups that span components, without nodes that can't link with another
+    open node. ``common`` counts a node's shingles that another open node has too; an intersection can't be larger. Each
+    pass counts anew over the nodes that the one before left."""
+    made = []
+    for turn in range(passes):
+        spans = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
+        now = written(now.select("sig", "node", "c").join(spans, "sig", "left_semi"), "open")
+        mine = fragments.join(now.select("node").distinct(), "node", "left_semi")
+        each = mine.select("node", F.explode("part").alias("x"))
+        common = common_of(each, mine.where("f = 0").select("node", "n"), percent, turn + 1 == passes)
+        made += [now, common]
+        now = now.join(common, "node")
+    now = written(now, "still")
+    dropped(*made)
+    return now
+
+
+def pairs_left(still: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of one signature across components whose sizes and common shingles allow a link. A pair comes out at
+    the smallest signature that it shares, if that is among the first HEAD of both nodes, else at each shared one. Groups
+    are dealt in blocks of about BLOCK members, and each two blocks meet in a task of their own."""
+    heads = still.groupBy("node").agg(F.collect_set("sig").alias("sigs")).select("node", F.slice(F.sort_array("sigs"), 1, HEAD).alias("head"))  # a node's signatures are at most its shingles
+    blocks = still.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = still.join(heads, "node").join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("block", "o"), "q": F.greatest("block", "o")})
+    side = lambda x: dealt.select("sig", "p", "q", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("block", "c", "n", "common", "head", "cells")))
+    first = F.array_min(F.array_intersect("head_a", "head_b"))
+    most = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    here = "a < b and c_a <> c_b and least(block_a, block_b) = p and greatest(block_a, block_b) = q"
+    sizes = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent} and least(common_a, common_b) * {100 + percent} >= (n_a + n_b) * {percent}"
+    met = side("a").join(side("b"), ["sig", "p", "q"])
+    # Cells are fragments of the order, so the sum of the smaller counts is at least the intersection.
+    return met.where(f"{here} and {sizes}").where(F.coalesce(first == F.col("sig"), F.lit(True))).where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
 
 
 def rooted(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, stars: int) -> DataFrame:
-    """(id, t, n, c) for each row of ``df``: its key, its number of shingles and its component."""
+    """(id, t, n, c) for each row of ``df``: its key, its number of shingles and its component. Only the two tables that
+    the result reads stay in the shared folder."""
     spark = df.sparkSession
+    send = spark.sparkContext.broadcast
     rows = written(narrow_of(df, id_col, text_col, width), "rows")
     # Signatures that two different sets share, by 48 of their bits; the smallest and largest node tell that without a list
     # of a group's members.
     half = signatures(df, text_col, width, percent).select(F.shiftright("sig", 16).alias("sig"), "node")
     shared = written(half.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"), "shared")
     freed(spark)
-    found = signatures(df, text_col, width, percent, bits_of(shared, "sig", LOG2)).distinct()
+    bits = send(bits_of(shared, "sig"))
+    found = signatures(df, text_col, width, percent, bits).distinct()
     members = written(found.join(shared.withColumnRenamed("sig", "__s"), F.shiftright("sig", 16) == F.col("__s"), "left_semi"), "members")
     dropped(shared)
+    bits.destroy()
     freed(spark)
     # One row stands for each node's copies: the one of the smallest hashed id.
-    stand_in = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("id")).alias("k"))
+    stand_in = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("id")).alias("k"), F.min("n").alias("n"))
     stand_in = written(stand_in, "stand_in")
     # Nodes with too many shingles that no other member has are left out before any set is kept.
-    common = common_of(sets_of(df, id_col, text_col, width, bits_of(stand_in, "k", LOG2), whole=True), percent)
+    bits = send(bits_of(stand_in, "k"))
+    common = common_of(sets_of(df, id_col, text_col, width, bits, whole=True).select("node", "x"), stand_in.select("node", "n"), percent)
     some = members.join(common, "node", "left_semi")
     spans = some.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
     some = written(some.join(spans, "sig", "left_semi"), "members")
-    dropped(members)
+    dropped(members, common)
+    bits.destroy()
     members = some
     freed(spark)
-    stand_in = stand_in.join(members.select("node").distinct(), "node", "left_semi")
-    some = sets_of(df, id_col, text_col, width, bits_of(stand_in, "k", LOG2))
+    bits = send(bits_of(stand_in.join(members.select("node").distinct(), "node", "left_semi"), "k"))
+    some = sets_of(df, id_col, text_col, width, bits)
     fragments = written(some.dropDuplicates(["node", "f"]), "fragments")
+    dropped(stand_in)
+    bits.destroy()
     freed(spark)
     roots = df.sparkSession.createDataFrame([], "node long, root long")
-    links, tested = None, None
+    links, tested, made = None, None, []
     for turn in range(stars + 1):
         now = labelled(members, roots)
         if turn < stars:
             pairs = now.join(centres(now), "sig").where("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
-            still, common = open_members(now, fragments, percent)
-            still = written(still, "still")
-            other = still.select("sig", F.col("node").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("common").alias("common_b"))
-            within = f"a < b and c <> c_b and least(n, n_b) * 100 >= greatest(n, n_b) * {percent} and least(common, common_b) * {100 + percent} >= (n + n_b) * {percent}"
-            pairs = still.withColumnRenamed("node", "a").join(other, "sig").where(within).select("a", "b")
+            still = open_members(now, fragments, percent)
+            made.append(still)
+            pairs = pairs_left(still, percent)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(may_link(pairs, common, percent) if turn == stars else pairs, "pairs")
+        pairs = written(pairs, "pairs")
+        made.append(pairs)
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = written(linked(pairs, fragments, percent), "links")
+        made.append(found)
         links = found if links is None else links.unionByName(found)
+        if getattr(roots, "written_at", None):
+            made.append(roots)
         roots = written(components(links), "roots")
         freed(spark)
-    dropped(fragments)
+    dropped(fragments, members, *made)
     rows = rows.join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
     return rows
 
@@ -324,15 +358,16 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = written(rooted(df, id_col, text_col, width, percent, stars).where("n > 0").select("id", "t", "c"), "rooted")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "t")
     stay = rows.groupBy("c").agg(F.min(key).alias("stay"))
+    i, u, t = fresh(df.columns, "id", "u", "t")
     # A hot component is one row on the right; AQE splits the left side.
-    gone = rows.join(stay, "c").where(~key.eqNullSafe(F.col("stay"))).select(F.col("id").alias("__id"), F.col("t").alias("__u")).distinct()
-    twice = written(rows.groupBy(F.col("id").alias("__id"), F.col("t").alias("__u")).count().where("count > 1").select("__id", "__u"), "twice")
-    keyed = df.withColumn("__t", F.xxhash64(text_col))
-    same = lambda left, right: left[id_col].eqNullSafe(right["__id"]) & (left["__t"] == right["__u"])
+    gone = rows.join(stay, "c").where(~key.eqNullSafe(F.col("stay"))).select(F.col("id").alias(i), F.col("t").alias(u)).distinct()
+    twice = written(rows.groupBy(F.col("id").alias(i), F.col("t").alias(u)).count().where("count > 1").select(i, u), "twice")
+    keyed = df.withColumn(t, F.xxhash64(text_col))
+    same = lambda left, right: left[id_col].eqNullSafe(right[i]) & (left[t] == right[u])
     left = keyed.join(gone, same(keyed, gone), "left_anti")
     if twice.isEmpty():
-        return left.drop("__t")
+        return left.drop(t)
     again = left.join(twice, same(left, twice), "left_semi")
     # Rows of equal id and equal text: one stays.
-    first = again.groupBy(F.col(id_col).alias("__id"), "__t").agg(F.min(F.struct(*df.columns)).alias("row")).select("row.*")
-    return left.join(twice, same(left, twice), "left_anti").drop("__t").unionByName(first)
+    first = again.groupBy(F.col(id_col).alias(i), t).agg(F.min(F.struct(*df.columns)).alias("row")).select("row.*")
+    return left.join(twice, same(left, twice), "left_anti").drop(t).unionByName(first)

@@ -86,7 +86,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS tie FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM sized GROUP BY source
 ), weighed AS (
@@ -108,14 +109,14 @@ WITH sized AS (
 ), leftover AS (
   SELECT *, target - whole * source_size AS remaining FROM planned
 ), ranked AS (
-  SELECT d.doc_id, d.size, l.source, l.source_size, l.target, l.whole, l.remaining,
+  SELECT d.doc_id, d.size, d.tie, l.source, l.source_size, l.target, l.whole, l.remaining,
     (u / (1 - u)) / (p / (1 - p)) AS rank FROM (
       SELECT *, (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u FROM sized
     ) d JOIN (
       SELECT *, greatest(1e-9::DOUBLE, least((1 - 1e-9::DOUBLE), CASE WHEN source_size > 0 THEN remaining / source_size ELSE 0 END)) AS p FROM leftover
     ) l ON d.source IS NOT DISTINCT FROM l.source
 ), summed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS upto, sum(size) OVER (PARTITION BY source, rank) AS tied FROM ranked
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, tie) AS upto, sum(size) OVER (PARTITION BY source, rank, tie) AS tied FROM ranked
 )
 SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN 2 * upto - tied < 2 * remaining THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -429,6 +429,17 @@ def test_mixing_meets_targets(spark, docs):
     assert mixing.mixed(empty(docs)).count() == 0 and mixing.repeated(empty(docs)).count() == 0
 
 
+def test_mixing_without_ids_and_with_clashing_columns(spark):
+    rows = [(None if i % 3 else i, f"w{i} " * (i % 9 + 1), f"s{i % 4}") for i in range(900)]
+    names = ["source_size", "target", "whole", "left", "cut", "copies", "rank", "size", "tie", "place", "__size", "copies__"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    m = mixing.mixed(df)
+    per = m.groupBy("source").agg(F.sum(F.col("__copies") * F.col("__size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 9 for r in per)
+    out = mixing.repeated(df)
+    assert out.columns == df.columns and out.where("target = 'target' and left = 'left'").count() == m.agg(F.sum("__copies")).first()[0]
+
+
 def test_unequal_inclusion(spark):
     df = spark.createDataFrame([(i, "w", "a" if i < 4000 else "b", 1.5 if i % 2 else 0.5) for i in range(8000)], "doc_id long, text string, source string, odds double")
     m = mixing.mixed(df, weights=(1, 3), odds_col="odds").where("source = 'a'")
