@@ -2,13 +2,17 @@
 
 Candidates are the matches of fixed patterns and of looser ones (obfuscated addresses, phone-like digits without a plus,
 secrets after a key word, long hex strings). Three labelers vote 1, 0 or abstain on each: *pattern* (does the strict form
-with its checks hold), *gazetteer* (known endings, codes, key names) and *context* (cue words before the span). Votes are
-counted over all documents by (kind, votes, shape), a table whose size the pattern bounds; expectation-maximisation on
-those counts gives each labeler's reliability and the posterior of each cell, on which a logistic classifier over
-span features is trained. Spans that it accepts are added; the matches of the fixed patterns always stay.
-
-Defined results: null texts count as empty and have no spans; repeated rows get equal results; spans are code points,
-end exclusive; of two added spans that overlap the earlier, then the longer one stays, and none overlaps a fixed match.
+with its checks hold), *gazetteer* (lists of endings, special address blocks, first digits, token prefixes and
+placeholders) and *context* (cue words before the span). Votes are counted over all documents by (kind, votes, shape), a
+table whose size the pattern bounds; expectation-maximisation on those counts gives each labeler's reliability and the
+posterior of each cell, on which a logistic classifier over span features is trained. Training and use see the same
+candidates. Spans that it accepts are added; the matches of the fixed patterns always stay.
+
+Defined results: null texts count as empty and have no spans; texts are searched whole, in time that grows with their
+length; repeated rows get equal results; spans are code points, end exclusive; of two added spans that overlap the
+earlier, then the longer one stays, and none overlaps a fixed match; an empty table gives an empty result, and a model
+trained on one adds no span. Columns named like a new one (found; n_email to n_added) are replaced, others pass through
+under any name.
 """
 
 from __future__ import annotations
@@ -25,31 +29,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_columns_from_text
+from .common import fresh, with_columns_from_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP_TAIL = re.compile(r"\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+"),
     "phone": re.compile(r"(?:\([0-9]{2,4}\) ?|(?<![0-9.+(])[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,4}(?![0-9])"),
     "secret": re.compile(r"(?<![0-9A-Za-z])[A-Fa-f0-9]{24,}(?![0-9A-Za-z])|(?<![A-Za-z])(?:[Pp]assword|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey)s?[\"']? ?[:=] ?[\"']?([^\s\"',;]{6,})"),
 }
-#: Cue words by kind, and known endings, first digits and key names.
+#: Cue words by kind, and the gazetteer: known endings, special-use address blocks (no person's), first
+#: digits of cards, prefixes of issued tokens, lengths of hexadecimal keys, and words that stand where a secret would.
 CUES = {
-    "email": ("mail", "contact", "write", "address", "e-mail"),
-    "ip": ("ip", "host", "server", "address", "from"),
-    "card": ("card", "visa", "credit", "payment", "number"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
-    "secret": ("token", "password", "secret", "key", "api"),
+    "email": frozenset(("mail", "email", "contact", "write", "address")),
+    "ip": frozenset(("ip", "host", "server", "address", "from")),
+    "card": frozenset(("card", "visa", "credit", "payment", "number")),
+    "phone": frozenset(("phone", "telephone", "call", "tel", "mobile", "fax")),
+    "secret": frozenset(("token", "password", "secret", "key", "api")),
 }
 ENDINGS = frozenset(("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info"))
+NO_HOST = ("0.", "127.", "255.", *(f"{n}." for n in range(224, 256)))
 CARD_FIRST = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
+TOKEN_FIRST = ("sk-", "sk_", "pk_", "ghp_", "gho_", "glpat-", "AKIA", "AIza", "xox", "eyJ")
+KEY_LENGTHS = frozenset((32, 40, 64, 128))
+PLACEHOLDERS = frozenset(("password", "changeme", "example", "secret", "required", "optional", "default", "undefined", "string", "xxxxxx", "xxxxxxxx"))
 LABELERS = ("pattern", "gazetteer", "context")
 
 
@@ -62,19 +71,33 @@ def small(part: str) -> bool:
     return len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255
 
 
+DIGITS = frozenset("0123456789")
+
+
+def before(text: str, end: int, least: int, letters: frozenset) -> int:
+    """Where the run of ``letters`` that ends at ``end`` begins, not below ``least``."""
+    while end > least and text[end - 1] in letters:
+        end -= 1
+    return end
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """The fixed matches as (start, end, kind), by start, then kind in the listed order."""
     out, last = [], 0
     if "@" in text:
         for m in AT.finditer(text):
-            i = m.start()
-            while i > last and text[i - 1] in LOCAL:
-                i -= 1
+            i = before(text, m.start(), last, LOCAL)
             if i < m.start():
                 out.append((i, last := m.end(), "email"))
-    for m in IP.finditer(text):
-        if all(map(small, m[0].split("."))):
-            out.append((*m.span(), "ip"))
+    at, last = 0, 0
+    while m := IP_TAIL.search(text, at):
+        i = before(text, m.start(), last, DIGITS)
+        if i == m.start():
+            at = i + 1
+            continue
+        at = last = m.end()
+        if all(map(small, text[i:last].split("."))):
+            out.append((i, last, "ip"))
     for m in CARD.finditer(text):
         if 14 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             out.append((*m.span(), "card"))
@@ -85,35 +108,57 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, bool]]:
-    """The fixed matches and those of the looser patterns: start, end, kind, whether the strict form holds."""
-    for s, e, k in base:
-        yield s, e, k, True
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, bool]]:
+    """Matches of the looser patterns that overlap none of ``base`` (by start): start, end, kind, whether the strict form
+    holds; by start, longer ones first."""
+    out = []
     if "(at)" in text or "[at]" in text:
+        last = 0
         for m in LOOSE["email"].finditer(text):
-            yield *m.span(), "email", False
-    for m in LOOSE["phone"].finditer(text):
-        yield *m.span(), "phone", False
-    for m in LOOSE["secret"].finditer(text):
-        yield *(m.span(1) if m[1] else m.span()), "secret", bool(m[1])
+            end = m.start() - (m.start() > last and text[m.start() - 1] == " ")
+            if (i := before(text, end, last, LOCAL)) < end:
+                out.append((i, last := m.end(), "email", False))
+    out += [(*m.span(), "phone", False) for m in LOOSE["phone"].finditer(text)]
+    out += [(*(m.span(1) if m[1] else m.span()), "secret", bool(m[1])) for m in LOOSE["secret"].finditer(text)]
+    out.sort(key=lambda x: (x[0], -x[1]))
+    free, i, reach = [], 0, 0
+    for c in out:
+        while i < len(base) and base[i][0] < c[1]:
+            reach = max(reach, base[i][1])
+            i += 1
+        # Fixed matches that begin before this one's end: none may end beyond its start.
+        if reach <= c[0]:
+            free.append(c)
+    return free
+
+
+WORD = re.compile(r"[a-z]+")
+
+
+def cued(text: str, s: int, kind: str) -> bool:
+    """Whether a cue word of the kind, or its plural, stands whole in the 40 characters before s."""
+    lo = max(0, s - 40)
+    while 0 < lo < s and text[lo].isalpha() and text[lo - 1].isalpha():
+        lo += 1
+    cues = CUES[kind]
+    return any(w in cues or w[-1] == "s" and w[:-1] in cues for w in WORD.findall(text[lo:s].lower()))
 
 
 def votes(text: str, s: int, e: int, kind: str, strict: bool) -> tuple[int, int, int, int]:
     """Votes of the three labelers (1, 0, or -1: abstains) and the span's shape: length class by digits and letters."""
-    span, before = text[s:e], text[max(0, s - 40) : s].lower()
-    cue = any(c in before for c in CUES[kind])
+    span = text[s:e]
+    letters, digits = bool(re.search("[A-Za-z]", span)), bool(re.search("[0-9]", span))
     if kind == "email":
         gaz = int(span.rpartition(".")[2].lower() in ENDINGS)
     elif kind == "card":
         gaz = int(span.startswith(CARD_FIRST))
     elif kind == "ip":
-        gaz = int(not span.startswith(("0.", "255.")))
+        gaz = int(not span.startswith(NO_HOST))
     elif kind == "phone":
         gaz = 1 if span[0] == "+" and span[1] != "0" else -1
     else:
-        gaz = int(bool(re.search("[0-9]", span)) and bool(re.search("[A-Za-z]", span)))
-    shape = min(3, (e - s) // 10) * 4 + 2 * bool(re.search("[A-Za-z]", span)) + bool(re.search("[0-9]", span))
-    return int(strict), gaz, 1 if cue else -1, shape
+        gaz = 0 if span.lower() in PLACEHOLDERS or not digits else 1 if span.startswith(TOKEN_FIRST) or len(span) in KEY_LENGTHS or letters else -1
+    return int(strict), gaz, 1 if cued(text, s, kind) else -1, min(3, (e - s) // 10) * 4 + 2 * letters + digits
 
 
 @dataclass
@@ -176,7 +221,8 @@ def train(df: DataFrame, text_col: str = "text") -> SpanModel:
             texts = [t or "" for t in b.column(0).to_pylist()]
             seen: Counter = Counter()
             for t in texts:
-                for s, e, k, strict in candidates(t, base_spans(t)):
+                base = base_spans(t)
+                for s, e, k, strict in (*((*x, True) for x in base), *candidates(t, base)):
                     seen[k, *votes(t, s, e, k, strict)] += 1
             yield pa.RecordBatch.from_pylist([dict(zip(("kind", "a", "b", "c", "shape", "n"), (*key, n), strict=True)) for key, n in seen.items()], schema=schema)
 
@@ -193,12 +239,8 @@ class Finder:
         """Fixed spans, and all spans, each as (start, end, kind)."""
         base = base_spans(text)
         added, end = [], 0
-        taken = sorted((s, e) for s, e, _ in base)
-        i = 0
-        for s, e, k, strict in sorted(candidates(text, []), key=lambda x: (x[0], -x[1])):
-            while i < len(taken) and taken[i][1] <= s:
-                i += 1
-            if s < end or any(a < e and s < b for a, b in taken[max(0, i - 4) : i + 4]):
+        for s, e, k, strict in candidates(text, base):
+            if s < end:
                 continue
             cell = (k, *votes(text, s, e, k, strict))
             if cell not in self.seen:
@@ -276,8 +318,9 @@ def masked(df: DataFrame, model: SpanModel, text_col: str = "text", length_col:
 
         return make
 
-    out = with_columns_from_text(df, text_col, [T.StructField("__masked", T.StringType())], maker)
-    out = out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("__masked")))
-    if length_col and length_col in df.columns:
+    had, new = df.columns, fresh(df.columns, "masked")
+    out = with_columns_from_text(df, text_col, [T.StructField(new, T.StringType())], maker)
+    out = out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col(new)))
+    if length_col and length_col in had:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(df.schema[length_col].dataType))
-    return out.select(*df.columns)
+    return out.select(*had)

@@ -223,6 +223,45 @@ def test_long_secrets_are_whole_spans():
         assert [(s, e) for s, e, k, _ in pii.candidates(t, []) if k == "secret"] == [(start, len(t))]
 
 
+def test_long_runs_take_linear_time():
+    for t in ("1" * 100_000, "1." * 50_000, "a" * 100_000 + " (at) b.com", "+" + "1 " * 50_000, "@" * 100_000, ".1" * 50_000 + "x", "0f" * 50_000):
+        pii.base_spans(t), pii.candidates(t, [])
+    assert pii.base_spans("1" * 100_000 + ".2.3.4") == [] and pii.base_spans("x.1.2.3.4.5")[0] == (2, 9, "ip")
+
+
+def test_candidates_overlap_no_fixed_match_and_cues_are_words():
+    t = "call +1 (499) 555-6503 now or 499 555 6503, x (at) y.com"
+    assert [t[s:e] for s, e, *_ in pii.candidates(t, pii.base_spans(t))] == ["499 555 6503", "x (at) y.com"]
+    assert pii.cued("the ip is 1.2.3.4", 10, "ip") and not pii.cued("the ship is 1.2.3.4", 12, "ip")
+    assert not pii.cued("hotel 499", 6, "phone") and pii.cued("Phones: 499", 8, "phone") and not pii.cued("h" * 3 + "otel" + " " * 37, 44, "phone")
+
+
+def test_all_spans_against_plain_patterns(spark):
+    """Every span: fixed matches, and of the loose matches beside them those that the classifier takes, first come first."""
+    rng = np.random.default_rng(8)
+    parts = ["call ", "+1 (499) 555-6503", "499 555 6503", "(20) 7946 0958 ", "x.y (at) z.com", "a@b.org", "token=Ab3dEf6hI9", "password: changeme", " ip 10.0.0.7", "0f" * 16, " ", " w", "7"]
+    rows = [(i, "".join(rng.choice(parts, 8))) for i in range(400)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"masked__": F.lit(1), "Found": F.lit(2)})
+    model = pii.train(df)
+    loose = {"email": r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+", "phone": pii.LOOSE["phone"].pattern, "secret": pii.LOOSE["secret"].pattern}
+    taken = Counter()
+    got = {r.doc_id: r.found for r in pii.find(df, model).collect()}
+    for i, t in rows:
+        base, end, want = naive_spans(t or ""), 0, []
+        some = [(*(m.span(1) if k == "secret" and m[1] else m.span()), k, k == "secret" and bool(m[1])) for k, x in loose.items() for m in re.finditer(x, t or "")]
+        for s, e, k, strict in sorted(some, key=lambda x: (x[0], -x[1])):
+            if s >= end and not any(b < e and s < f for b, f, _ in base):
+                *v, shape = pii.votes(t, s, e, k, strict)
+                if pii.row_of(k, tuple(v), shape) @ model.weights >= 0:
+                    want.append((s, e, k))
+                    taken[k] += 1
+                    end = e
+        assert sorted((s.start, s.end, s.kind) for s in got[i]) == sorted(base + want), t
+    assert all(taken[k] > 20 for k in ("email", "secret"))
+    masked = pii.masked(df, model)
+    assert masked.columns == df.columns and masked.where("doc_id = 900 and text is null").count() == 1
+
+
 def test_labelers_learn_their_reliability():
     rng = np.random.default_rng(0)
     cells = Counter()
