@@ -1,14 +1,18 @@
 """A corpus pipeline of five stages: toxic documents go, near copies go, personal data is masked, sources are mixed to
-their target weights, and the texts are encoded. Each stage takes all that its predecessor kept."""
+their target weights, and the texts are encoded. Each stage takes all that its predecessor kept.
 
-from __future__ import annotations
+Defined results, for the pipeline as for its stages: null and empty texts aren't toxic, have no copies and no personal data,
+count no words (so a source without words leaves the mix), and encode to the blank; null ids are ids like others; rows of
+equal id and text are one document; very long texts are read whole; an empty table gives an empty result; other columns
+pass through, but for those named like the encoding's new ones.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import mixing, ngram_join, pii, sp_sampling, toxicity
-from graphloom.llm.common import shared_folder, table
+from graphloom.llm.common import dropped, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +32,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sp_sampling.encode(docs, k=1)
+    return sp_sampling.encode(docs, k=2)
 
 
 STAGES = [("toxicity", without_toxic), ("ngram_join", without_copies), ("pii", without_personal_data), ("mixing", mixed), ("sentencepiece", encoded)]
@@ -38,9 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_folder(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)  # its only reader has been written
+        before = docs
     return docs
