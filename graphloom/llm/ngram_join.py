@@ -42,7 +42,7 @@ from .common import bits_of, components, dropped, fresh, mix, slices, within_bit
 MASK = 2**64 - 1
 ROWS = 8  # fragments in which overlaps are counted
 CELLS = 64  # finer fragments in which overlaps are bounded
-HEAD = 32  # a node's smallest signatures, by which a pair is told to be at its smallest shared one
+HEAD = 8  # a node's smallest signatures, by which a pair is told to be at its smallest shared one
 BLOCK = 512  # members of a large group that meet those of another block in one task
 
 
@@ -240,10 +240,10 @@ def common_of(each: DataFrame, sizes: DataFrame, percent: int, cells: bool = Fal
     return written(got.select("node", "n", "common", *["cells"] * cells), "common")
 
 
-def open_members(now: DataFrame, fragments: DataFrame, percent: int, passes: int = 2) -> DataFrame:
-    """(sig, node, c, n, common, cells) of the groups that span components, without nodes that can't link with another
-    open node. ``common`` counts a node's shingles that another open node has too; an intersection can't be larger. Each
-    pass counts anew over the nodes that the one before left."""
+def open_members(now: DataFrame, fragments: DataFrame, percent: int, passes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(sig, node, c, n, common) of the groups that span components, without nodes that can't link with another open node,
+    and the last pass's :func:`common_of`. ``common`` counts a node's shingles that another open node has too; an
+    intersection can't be larger. Each pass counts anew over the nodes that the one before left."""
     made = []
     for turn in range(passes):
         spans = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
@@ -252,10 +252,10 @@ def open_members(now: DataFrame, fragments: DataFrame, percent: int, passes: int
         each = mine.select("node", F.explode("part").alias("x"))
         common = common_of(each, mine.where("f = 0").select("node", "n"), percent, turn + 1 == passes)
         made += [now, common]
-        now = now.join(common, "node")
+        now = now.join(common.drop("cells"), "node")
     now = written(now, "still")
-    dropped(*made)
-    return now
+    dropped(*made[:-1])
+    return now, common
 
 
 def pairs_left(still: DataFrame, percent: int) -> DataFrame:
@@ -266,14 +266,23 @@ def pairs_left(still: DataFrame, percent: int) -> DataFrame:
     blocks = still.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = still.join(heads, "node").join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("block", "o"), "q": F.greatest("block", "o")})
-    side = lambda x: dealt.select("sig", "p", "q", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("block", "c", "n", "common", "head", "cells")))
+    dealt = written(dealt.select("sig", "p", "q", "block", "node", "c", "n", "common", "head"), "dealt")
+    side = lambda x: dealt.select("sig", "p", "q", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("block", "c", "n", "common", "head")))
     first = F.array_min(F.array_intersect("head_a", "head_b"))
-    most = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
     here = "a < b and c_a <> c_b and least(block_a, block_b) = p and greatest(block_a, block_b) = q"
     sizes = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent} and least(common_a, common_b) * {100 + percent} >= (n_a + n_b) * {percent}"
-    met = side("a").join(side("b"), ["sig", "p", "q"])
-    # Cells are fragments of the order, so the sum of the smaller counts is at least the intersection.
-    return met.where(f"{here} and {sizes}").where(F.coalesce(first == F.col("sig"), F.lit(True))).where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
+    met = side("a").join(side("b"), ["sig", "p", "q"]).where(f"{here} and {sizes}")
+    out = written(met.where(F.coalesce(first == F.col("sig"), F.lit(True))).select("a", "b"), "met")
+    dropped(dealt)
+    return out
+
+
+def may_link(pairs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose common shingles, bounded cell by cell, are enough for a link. Cells are fragments of the order, so
+    the sum of the smaller counts is at least the intersection."""
+    of = lambda x: common.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"k_{x}"))
+    most = F.aggregate(F.zip_with("k_a", "k_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
 
 
 def rooted(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, stars: int) -> DataFrame:
@@ -319,13 +328,13 @@ def rooted(df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
         if turn < stars:
             pairs = now.join(centres(now), "sig").where("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
-            still = open_members(now, fragments, percent)
-            made.append(still)
+            still, common = open_members(now, fragments, percent)
             pairs = pairs_left(still, percent)
+            made += [still, common, pairs]
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(may_link(pairs, common, percent) if turn == stars else pairs, "pairs")
         made.append(pairs)
         if pairs.isEmpty():
             continue
