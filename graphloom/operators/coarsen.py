@@ -7,8 +7,10 @@ with features, undirected weighted edges) is rebuilt and checkpointed; the drive
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,19 +28,32 @@ class Kernel:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir (a temporary folder only where none is set)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    """A reliable checkpoint in spark.checkpoint.dir. Where none is set, a session on one machine gets a temporary folder; a
+    cluster must name one that all machines share."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
-def candidate_pairs(k: Kernel, window: int = 20, cap: int = 128, hubs: bool = True) -> DataFrame:
+def candidate_pairs(k: Kernel, window: int = 20, cap: int = 128, hubs: bool | int | dict[int, int] = True) -> tuple[DataFrame, DataFrame]:
+    """The thinned, ranked mediator lists, and the pairs in their bands. ``hubs``: whether mediators above a degree are left
+    out; one cap for all types, or caps by type id, instead of the automatic ones."""
     adj = adjacency(k.edges)
     deg = degrees(adj, k.nodes)
-    lists = mediator_lists(adj, deg, hub_caps(deg) if hubs else None)
+    lists = mediator_lists(adj, deg, hub_caps(deg, hubs) if hubs is not False else None)
     ordered = stride_sampled(projected_order(lists, k.nodes), cap)
-    return merge_cost(with_features(band_pairs(ordered, window), k.nodes))
+    return ordered, cheapest(band_pairs(ordered, window), k.nodes)
+
+
+def cheapest(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """(t_src, t_med, u, v, cost), u < v: the cheapest cost of each pair over its mediators of a type. Costs of one pair
+    differ by the weights alone, so features are fetched once for a pair."""
+    least = pairs.groupBy("t_src", "t_med", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.col("w_u") * F.col("w_v")).alias("w_u"))
+    return merge_cost(with_features(least.withColumn("w_v", F.lit(1.0)), features)).select("t_src", "t_med", "u", "v", "cost")
 
 
 def admissible(pairs: DataFrame, variance: DataFrame, scale: float = 1.0, scales: DataFrame | None = None) -> DataFrame:
@@ -62,15 +77,30 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
 
 def matching(pairs: DataFrame, rounds: int = 4) -> DataFrame:
     """Greedy matching by rising cost: repeated mutual best picks. Pairs left after ``rounds`` wait for the next pass."""
-    left, out = settled(pairs.select("u", "v", "cost")), None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    left, out = pairs.select("u", "v", "cost"), None
+    for turn in range(rounds):
         got = settled(mutual_best(left))
         out = got if out is None else out.unionByName(got)
-        used = got.select(F.col("u").alias("g")).unionByName(got.select(F.col("v").alias("g")))
+        if turn + 1 == rounds or got.isEmpty():  # without a mutual pick no pair is left
+            break
+        used = got.select(F.explode(F.array("u", "v")).alias("g"))
         left = settled(left.join(used.withColumnRenamed("g", "u"), "u", "left_anti").join(used.withColumnRenamed("g", "v"), "v", "left_anti"))
-    return out if out is not None else pairs.select("u", "v", "cost").limit(0)
+    return out
+
+
+def cheapest_merges(pairs: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """About the ``most`` cheapest of disjoint pairs, and whether any was left out. Costs are counted in classes of about one
+    per cent (few rows, whatever the pairs), and whole classes are kept, so nothing is sorted and reruns agree."""
+    step = F.floor(F.log2(F.col("cost") + 1e-30) * 64).cast("int")
+    sizes = sorted((r["step"], r["count"]) for r in pairs.groupBy(step.alias("step")).count().collect())
+    if sum(n for _, n in sizes) <= most:
+        return pairs, False
+    got, last = 0, None
+    for at, n in sizes:
+        if last is not None and got + n > most:
+            break
+        got, last = got + n, at
+    return pairs.where(step <= last), True
 
 
 def merged_map(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -142,47 +172,51 @@ def finalized(flags: DataFrame, cmap: DataFrame) -> DataFrame:
     return cmap.join(flags, "gid", "left").groupBy("root").agg((F.bool_or(F.coalesce("done", F.lit(False))) | (F.count("*") > 1)).alias("done")).withColumnRenamed("root", "gid")
 
 
-def coarsened(k: Kernel, scale: float = 1.0, target: float = 0.0, levels: int = 5, outers: int = 10, window: int = 20, cap: int = 128, reassign: bool = True, pairwise: bool = True, objective: str = "ward", scales: DataFrame | None = None) -> tuple[DataFrame, dict]:
-    """(gid, root) over the first nodes, and what happened. Stops at ``target`` (original / current nodes), without
-    merges, or after ``levels`` * ``outers`` passes."""
+def coarsened(k: Kernel, scale: float = 1.0, target: float = 0.0, levels: int = 5, outers: int = 10, window: int = 20, cap: int = 128, reassign: bool = True, pairwise: bool = True, objective: str = "ward", scales: DataFrame | None = None, hubs: bool | int | dict[int, int] = True, first: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, dict]:
+    """(gid, root) over the first nodes, and what happened. Stops at ``target`` (original / current nodes; a pass of pairs
+    that would go beyond it keeps the cheapest and moves no single nodes), without merges, or after ``levels`` * ``outers`` passes. ``first``: :func:`candidate_pairs` of ``k``, where they are known."""
     start = k.nodes.count()
-    total = settled(k.nodes.select("gid", F.col("gid").alias("root")))
+    total = None
     now, history = start, []
-    for _ in range(levels * outers):
-        pairs = candidate_pairs(k, window, cap)
-        var = feature_variance(k.nodes)
-        ok = settled(admissible(pairs, var, scale, scales))
+    for turn in range(levels * outers):
+        ordered, pairs = first if first and not turn else candidate_pairs(k, window, cap, hubs)
+        ok = settled(admissible(pairs, feature_variance(k.nodes), scale, scales))
         if objective == "dirichlet":
-            ok = dirichlet_pairs(k, ok, window, cap)
+            ok = dirichlet_pairs(k, ok, ordered, window)
+        full = False
         if pairwise:
-            m = merged_map(k.nodes, matching(ok))
+            found = matching(ok)
+            if target:  # the last pass doesn't go far beyond the target
+                found, full = cheapest_merges(found, max(0, now - ceil(start / target)))
+            m = merged_map(k.nodes, found)
         else:
             dens = ok.select("u", "v").unionByName(ok.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.count("*").alias("density"))
             joined = ball_merge(ok, dens)
             m = k.nodes.select("gid").join(joined, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-        m = settled(m)
-        if reassign:
+        if reassign and not full:
+            m = settled(m)
             moves = reassigned(k, m, scale).withColumnRenamed("root", "to")
-            m = settled(m.join(moves, "gid", "left").select("gid", F.coalesce("to", "root").alias("root")))
-        k = rebuilt(k, m)
-        k = Kernel(settled(k.nodes), settled(k.edges))
-        total = settled(composed(total, m))
-        after = k.nodes.count()
+            m = m.join(moves, "gid", "left").select("gid", F.coalesce("to", "root").alias("root"))
+        m = settled(m)
+        after = m.select("root").distinct().count()
+        total = m if total is None else settled(composed(total, m))
+        if after < now:
+            k = rebuilt(k, m)
+            k = Kernel(settled(k.nodes), settled(k.edges))
         assert after <= now
         history.append(after)
-        if after == now or (target and start / max(1, after) >= target):
+        if full or after == now or (target and start / max(1, after) >= target):
             break
         now = after
+    if total is None:
+        total = k.nodes.select("gid", F.col("gid").alias("root"))
     return total, {"nodes": start, "supernodes": history[-1] if history else start, "history": history}
 
 
-def dirichlet_pairs(k: Kernel, ok: DataFrame, window: int, cap: int) -> DataFrame:
+def dirichlet_pairs(k: Kernel, ok: DataFrame, ordered: DataFrame, window: int) -> DataFrame:
     """Admissible pairs whose merge lowers the projected energy, ranked by that change."""
     from .topology import dirichlet_delta
 
-    adj = adjacency(k.edges)
-    deg = degrees(adj, k.nodes)
-    ordered = stride_sampled(projected_order(mediator_lists(adj, deg, hub_caps(deg)), k.nodes), cap)
     d = dirichlet_delta(band_pairs(ordered, window).select("med", "t_src", "u", "v", "w_u", "w_v"), ordered, k.nodes)
     best = d.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.round("delta", 9).alias("delta")).groupBy("u", "v").agg(F.min("delta").alias("delta")).where("delta < 0")
     return settled(ok.drop("cost").join(best, ["u", "v"]).withColumnRenamed("delta", "cost"))

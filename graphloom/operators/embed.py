@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import added, normalized, padded, scaled, sign_projection
@@ -32,8 +32,11 @@ def propagated(h: DataFrame, g: DataFrame) -> DataFrame:
 
 def fast_embed(nodes: DataFrame, g: DataFrame, hops: int = 2, dim: int = 4) -> DataFrame:
     """Per hop: h <- normalize(h + propagated), or normalize(propagated) for nodes that have no h yet."""
+    from .coarsen import settled
+
     h = start(nodes, dim)
-    for _ in range(hops):
+    for turn in range(hops):
+        h = settled(h) if turn else h  # read twice in a hop
         h = h.join(propagated(h, g), "gid", "left").select("gid", F.when(F.col("p").isNull(), F.col("h")).when(F.col("h").isNull(), normalized(F.col("p"))).otherwise(normalized(added(F.col("h"), F.col("p")))).alias("h"))
     return h
 
@@ -136,3 +139,82 @@ def pca(h: DataFrame, k: int) -> DataFrame:
 
     v = h.select("gid", array_to_vector("h").alias("v"))
     return PCA(k=k, inputCol="v", outputCol="o").fit(v).transform(v).select("gid", vector_to_array("o").alias("h"))
+
+
+def metapath_embed(graph, g: DataFrame, dim: int = 16, length: int = 50, per_node: int = 5, epochs: int = 5, seed: int = 0) -> DataFrame:
+    """(gid, h): skip-gram vectors of walks that go from type A to type B and back, for each pair of linked types that has
+    the target's type in it; a node's vectors are concatenated over the pairs, zeros where it isn't in one, and
+    normalised. ``per_node`` walks of ``length`` nodes start at each node of A."""
+    from pyspark.ml.feature import Word2Vec
+
+    t = graph.types.where(F.col("node_type") == graph.target).first()["type_id"]
+    kinds = sorted({tuple(sorted(r)) for r in g.select("st", "dt").distinct().collect() if t in r})  # one for each relation
+    out = graph.nodes.select("gid", F.array().cast("array<double>").alias("h"))
+    for n, (a, b) in enumerate(kinds):
+        some = g.where(((F.col("st") == a) & (F.col("dt") == b)) | ((F.col("st") == b) & (F.col("dt") == a)))
+        adj = some.select(F.col("s").alias("u"), F.col("d").alias("v")).unionByName(some.select(F.col("d").alias("u"), F.col("s").alias("v"))).distinct()
+        starts = adj.select(F.col("u").alias("gid")).distinct().join(graph.nodes.where(F.col("type_id") == t).select("gid"), "gid")
+        texts = None
+        for i in range(per_node):
+            w = walks(adj, starts, length, seed + 1000 * n + i).select(F.transform("walk", lambda x: x.cast("string")).alias("words"))
+            texts = w if texts is None else texts.unionByName(w)
+        model = Word2Vec(vectorSize=dim, minCount=0, seed=seed, inputCol="words", outputCol="out", windowSize=3, maxIter=epochs).fit(texts)
+        from pyspark.ml.functions import vector_to_array
+
+        own = model.getVectors().select(F.col("word").cast("long").alias("gid"), vector_to_array("vector").alias("own"))
+        out = out.join(own, "gid", "left").select("gid", F.concat("h", F.coalesce("own", F.array_repeat(F.lit(0.0), dim))).alias("h"))
+    return out.select("gid", normalized(F.col("h")).alias("h"))
+
+
+def attention(h: DataFrame, edges: DataFrame, score: Column, value: Column) -> DataFrame:
+    """(d, x): the sum of ``value`` over in-edges, weighted by the softmax of ``score`` over each destination's edges.
+    ``edges``: (s, d, ...); columns h_s and h_d hold the vectors of both ends."""
+    e = edges.join(h.select(F.col("gid").alias("s"), F.col("h").alias("h_s")), "s").join(h.select(F.col("gid").alias("d"), F.col("h").alias("h_d")), "d")
+    e = e.withColumns({"score": score, "x": value}).select("d", "score", "x")
+    top = e.groupBy("d").agg(F.max("score").alias("top"))  # a hub's edges are never gathered
+    e = e.join(top, "d").withColumn("w", F.exp(F.col("score") - F.col("top")))
+    part = e.select("d", "w", F.posexplode("x").alias("i", "a")).groupBy("d", "i").agg((F.sum(F.col("w") * F.col("a")) / F.sum("w")).alias("a"))
+    return part.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("i", "a")))["a"].alias("x"))
+
+
+def times(x: Column, m: list[list[float]]) -> Column:
+    """x times a small matrix (rows by the places of x)."""
+    return F.array(*[sum((x[i] * float(row[j]) for i, row in enumerate(m)), F.lit(0.0)) for j in range(len(m[0]))])
+
+
+def weights(*shape: int, seed: int) -> list:
+    """Seeded normal weights over the root of the first dimension."""
+    import numpy as np
+
+    return (np.random.default_rng(seed).normal(size=shape) / shape[0] ** 0.5).tolist()
+
+
+def gat_forward(h: DataFrame, g: DataFrame, dim: int, out: int = 4, heads: int = 4, seed: int = 0) -> DataFrame:
+    """(gid, h): one layer of graph attention: for each head, softmax over in-edges of leaky_relu(a . [W h_s, W h_d]) of
+    W h_s; heads are averaged. Weights are seeded; nodes without in-edges are left out."""
+    from ..functions.vectors import dot
+
+    total = None
+    for head in range(heads):
+        w, a = weights(dim, out, seed=seed + 2 * head), weights(2 * out, seed=seed + 2 * head + 1)
+        arr = lambda v: F.array(*[F.lit(float(z)) for z in v])
+        raw = dot(times(F.col("h_s"), w), arr(a[:out])) + dot(times(F.col("h_d"), w), arr(a[out:]))
+        x = attention(h, g.select("s", "d"), F.when(raw > 0, raw).otherwise(0.2 * raw), times(F.col("h_s"), w)).select(F.col("d").alias("gid"), F.transform("x", lambda v: v / heads).alias("x"))
+        total = x if total is None else total.join(x.withColumnRenamed("x", "y"), "gid").select("gid", F.zip_with("x", "y", lambda p, q: p + q).alias("x"))
+    return total.withColumnRenamed("x", "h")
+
+
+def hgt_forward(h: DataFrame, g: DataFrame, dim: int, seed: int = 0) -> DataFrame:
+    """(gid, h): one layer of typed attention: keys, queries and values by the ends' types, a matrix and a weight by
+    relation, softmax over all in-edges of a node. Weights are seeded by type and relation."""
+    from ..functions.vectors import dot
+
+    rels = [tuple(r) for r in g.select("src_type", "rel", "dst_type").distinct().orderBy("src_type", "rel", "dst_type").collect()]  # one row for each relation
+    kinds = {t: i for i, t in enumerate(sorted({x for r in rels for x in (r[0], r[2])}))}
+    score = value = F.lit(None)
+    for n, (a, rel, b) in enumerate(rels):
+        here = (F.col("src_type") == a) & (F.col("rel") == rel) & (F.col("dst_type") == b)
+        key, query, val = (times(F.col(x), weights(dim, dim, seed=seed + 100 * j + kinds[t])) for j, (x, t) in enumerate((("h_s", a), ("h_d", b), ("h_s", a))))
+        score = F.when(here, dot(times(key, weights(dim, dim, seed=seed + 1000 + n)), query) / dim**0.5).otherwise(score)
+        value = F.when(here, times(val, weights(dim, dim, seed=seed + 2000 + n))).otherwise(value)
+    return attention(h, g.select("s", "d", "src_type", "rel", "dst_type"), score, value).select(F.col("d").alias("gid"), F.col("x").alias("h"))

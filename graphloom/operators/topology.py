@@ -39,8 +39,12 @@ def degrees(adj: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("gid", "type_id").join(deg, "gid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def hub_caps(deg: DataFrame) -> DataFrame:
-    """(type_id, cap): mean + 3 population deviations of a type's degrees, rounded, at least 1."""
+def hub_caps(deg: DataFrame, given: bool | int | dict[int, int] = True) -> DataFrame:
+    """(type_id, cap): mean + 3 population deviations of a type's degrees, rounded, at least 1; or the ``given`` cap: one
+    for all types, or one for each type id, where types without one get the automatic cap."""
+    if given is not True:
+        own = F.lit(given) if isinstance(given, int) else F.coalesce(*[F.when(F.col("type_id") == t, F.lit(n)) for t, n in given.items()], F.col("cap"))
+        return hub_caps(deg).withColumn("cap", own.cast("long"))
     return deg.groupBy("type_id").agg(F.greatest(F.lit(1), F.round(F.avg("degree") + 3 * F.stddev_pop("degree"))).cast("long").alias("cap"))
 
 

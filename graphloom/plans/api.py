@@ -19,25 +19,33 @@ class Result:
     info: dict
 
 
-def compress(graph: TypedGraph, ratio: float = 0.1, emb_method: str = "fast", dim: int = 4, hops: int = 2, pairwise_merge: bool = True, merge_objective: str = "ward", skip_reassignment: bool = False, type_thresholds: bool = False, metapath_thresholds: bool = False, edge_weight_mode: str = "binary", use_soft_labels: bool = False, freeze_node_types: tuple[str, ...] = (), ratio_search: str = "fast", auto_search_runs: int = 8, auto_target_tolerance: float | None = None, max_candidates: int = 5) -> Result:
-    """Keeps about ``ratio`` of the nodes. Embeddings are 'fast', 'relprop' or 'raw'; the search is 'fast' or 'precise'."""
+def compress(graph: TypedGraph, ratio: float = 0.1, emb_method: str = "fast", dim: int = 4, hops: int = 2, pairwise_merge: bool = True, merge_objective: str = "ward", skip_reassignment: bool = False, type_thresholds: bool = False, metapath_thresholds: bool = False, edge_weight_mode: str = "binary", use_soft_labels: bool = False, freeze_node_types: tuple[str, ...] = (), ratio_search: str = "fast", auto_search_runs: int = 8, auto_target_tolerance: float | None = None, max_candidates: int = 128, window: int = 20, hub_caps: bool | int | dict[int, int] = True, levels: int = 5, outers: int = 10, seed: int = 42) -> Result:
+    """Keeps about ``ratio`` of the nodes. Embeddings are 'fast', 'relprop', 'raw' or 'metapath'; the search is 'fast' or
+    'precise'. Mediator lists are thinned to ``max_candidates`` and joined in a band of ``window`` ranks. A run has
+    ``levels`` * ``outers`` passes at most, and ends at the wanted ratio or without merges. ``seed`` draws walks; all other
+    steps are free of chance."""
     if ratio_search not in ("fast", "precise"):
         raise ValueError("ratio_search must be fast or precise")
     if edge_weight_mode not in quotient.MODES:
         raise ValueError(f"edge_weight_mode must be one of {quotient.MODES}")
-    if emb_method not in ("fast", "relprop", "raw"):
-        raise ValueError("emb_method must be fast, relprop or raw")
+    if emb_method not in ("fast", "relprop", "raw", "metapath"):
+        raise ValueError("emb_method must be fast, relprop, raw or metapath")
     validated(graph.edges, graph.types)
     g = global_edges(graph.edges, graph.types)
     k = coarsen.kernel_of(graph)
-    if emb_method != "raw":
-        h = (embed.fast_embed if emb_method == "fast" else embed.relation_embed)(graph.nodes, g, hops, dim)
+    if emb_method == "metapath":
+        h = embed.metapath_embed(graph, g, dim, seed=seed)
+        k = coarsen.Kernel(k.nodes.join(h, "gid", "left").select("gid", "type_id", F.coalesce("h", "x").alias("x")), k.edges)
+    elif emb_method != "raw":
+        h = (embed.fast_embed if emb_method == "fast" else embed.relation_embed)(graph.nodes, coarsen.settled(g), hops, dim)
         k = coarsen.Kernel(k.nodes.join(h, "gid").select("gid", "type_id", F.coalesce("h", "x").alias("x")), k.edges)
     k = coarsen.Kernel(coarsen.settled(k.nodes), coarsen.settled(k.edges))
     adj = topology.adjacency(k.edges)
     deg = topology.degrees(adj, k.nodes)
     var = topology.feature_variance(k.nodes)
-    lists = topology.mediator_lists(adj, deg, topology.hub_caps(deg))
+    lists = topology.mediator_lists(adj, deg, topology.hub_caps(deg, hub_caps) if hub_caps is not False else None)
+    near = coarsen.candidate_pairs(k, window, max(2, max_candidates), hub_caps)
+    near = near[0], coarsen.settled(near[1])  # the first pass of every run of the search
     energies = coarsen.settled(search.mediator_energies(lists, k.nodes, var))
     want = 1 / ratio
     mean_degree = float(deg.agg(F.avg("degree")).first()[0] or 0)
@@ -52,7 +60,7 @@ def compress(graph: TypedGraph, ratio: float = 0.1, emb_method: str = "fast", di
 
     def run(scale: float):
         scales = base.withColumn("scale", F.col("scale") * scale) if base is not None else None
-        m, info = coarsen.coarsened(k, scale, want, levels=1, outers=8, cap=max(2, max_candidates), reassign=not skip_reassignment, pairwise=pairwise_merge, objective="dirichlet" if merge_objective == "dirichlet" else "ward", scales=scales)
+        m, info = coarsen.coarsened(k, scale, want, levels=levels, outers=outers, window=window, cap=max(2, max_candidates), hubs=hub_caps, first=near, reassign=not skip_reassignment, pairwise=pairwise_merge, objective="dirichlet" if merge_objective == "dirichlet" else "ward", scales=scales)
         return m, info["nodes"] / max(1, info["supernodes"])
 
     if ratio_search == "fast":

@@ -59,6 +59,13 @@ def kernel(spark, d):
     return k, adj, coarsen.settled(topology.degrees(adj, k.nodes))
 
 
+def topo(spark, d):
+    """Adjacency and degrees alone: no features are read."""
+    g = trade(spark, d)
+    adj = topology.adjacency(topology.dedup(glob(g)))
+    return g, adj, topology.degrees(adj, g.nodes)
+
+
 def lists_of(spark, d):
     k, adj, deg = kernel(spark, d)
     return k, coarsen.settled(topology.mediator_lists(adj, deg, topology.hub_caps(deg)))
@@ -136,29 +143,29 @@ def graph_stats(spark, d):
 
 @query(T + REL + E + D + "SELECT type_id, count(*)::BIGINT AS n, sum(degree)::BIGINT AS total, max(degree)::BIGINT AS top FROM degs GROUP BY type_id")
 def degree_stats(spark, d):
-    _, _, deg = kernel(spark, d)
+    _, _, deg = topo(spark, d)
     return deg.groupBy("type_id").agg(F.count("*").alias("n"), F.sum("degree").alias("total"), F.max("degree").alias("top"))
 
 
 @query(T + REL + E + D + "SELECT type_id, cap FROM caps")
 def hub_caps(spark, d):
-    return topology.hub_caps(kernel(spark, d)[2])
+    return topology.hub_caps(topo(spark, d)[2])
 
 
 @query(T + REL + E + D + "SELECT gid, degs.type_id, degree::BIGINT AS degree FROM degs JOIN caps ON degs.type_id = caps.type_id AND degree > cap")
 def hub_filter(spark, d):
-    _, _, deg = kernel(spark, d)
+    _, _, deg = topo(spark, d)
     return deg.join(F.broadcast(topology.hub_caps(deg)), "type_id").where("degree > cap").select("gid", "type_id", "degree")
 
 
 @query(T + REL + E + D + "SELECT type_id, round(greatest(1, avg(degree)), 6) AS mean_degree FROM degs GROUP BY type_id")
 def type_mean_degree(spark, d):
-    return topology.type_mean_degree(kernel(spark, d)[2]).select("type_id", r6(F.col("mean_degree"), "mean_degree"))
+    return topology.type_mean_degree(topo(spark, d)[2]).select("type_id", r6(F.col("mean_degree"), "mean_degree"))
 
 
 @query(T + REL + E + D + "SELECT gid, type_id, degree::BIGINT AS degree FROM (SELECT *, row_number() OVER (PARTITION BY type_id ORDER BY degree DESC, gid) AS r, count(*) OVER (PARTITION BY type_id) AS n, max(degree) OVER (PARTITION BY type_id) AS top FROM degs) WHERE top > 1 AND r <= ceil(n * 0.02)")
 def hub_anchor(spark, d):
-    return topology.hub_anchors(kernel(spark, d)[2], 0.02)
+    return topology.hub_anchors(topo(spark, d)[2], 0.02)
 
 
 @query(T + REL + "SELECT off + n_nationkey AS gid, round(ln(1 + (SELECT count(*) FROM g WHERE d = off + n_nationkey)), 6) AS value FROM nation, types WHERE type_id = 4")
@@ -176,11 +183,11 @@ def src_feature_init_mean(spark, d):
     return graphs.neighbour_mean(e, f).select("dst", F.round("value", 4).alias("value"))
 
 
-@query("""WITH kept AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey < 500),
+@query("""WITH kept AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
 o AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM kept))
 SELECT kept.id::BIGINT AS src, o.id::BIGINT AS dst FROM o JOIN kept ON o_custkey = c_custkey""")
 def src_induced_subgraph(spark, d):
-    c = graphs.read(spark, d, "customer").where("c_mktsegment = 'BUILDING' and c_custkey < 500")
+    c = graphs.read(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
     kept = c.select("c_custkey", (F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("long").alias("src"))
     o = graphs.read(spark, d, "orders").join(kept.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
     o = o.select("o_custkey", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long").alias("dst"))
@@ -535,7 +542,7 @@ def dirichlet_delta(spark, d):
 two AS (SELECT DISTINCT p.u, q.u AS v FROM half p JOIN half q ON p.med = q.med AND p.t = q.t AND p.u <> q.u)
 SELECT u, v, rank::INT AS rank FROM (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY degree DESC, v) AS rank FROM two JOIN degs ON gid = v) WHERE rank <= 5""")
 def two_hop_candidates(spark, d):
-    _, adj, deg = kernel(spark, d)
+    _, adj, deg = topo(spark, d)
     return topology.two_hop_candidates(adj, deg, 30, 5).select("u", "v", "rank")
 
 
@@ -636,7 +643,7 @@ def energy_percentile(spark, d):
     return graphs.read(spark, d, "lineitem").agg(r6(F.percentile("l_extendedprice", 0.35), "p"))
 
 
-EN = ", kvar AS (SELECT type_id, CASE WHEN max(n) >= 2 AND sum(v) > 0 THEN sum(v) ELSE 1 END AS var FROM (SELECT type_id, i, var_pop(a) AS v, count(*) AS n FROM kx GROUP BY ALL) GROUP BY 1), few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY med, t_src ORDER BY u) AS i FROM lists) WHERE i <= 20), pe AS (SELECT * FROM (SELECT a.med, a.t_src, a.t_med, a.u, b.u AS v, row_number() OVER (PARTITION BY a.med, a.t_src ORDER BY a.i, b.i) AS r FROM few a JOIN few b ON a.med = b.med AND a.t_src = b.t_src AND a.i < b.i) WHERE r <= 5), en AS (SELECT * FROM (SELECT pe.t_src, pe.t_med, pe.med, pe.u, pe.v, 0.5 * sum((a.a - b.a) * (a.a - b.a)) / any_value(var) AS energy FROM pe JOIN kx a ON a.gid = pe.u JOIN kx b ON b.gid = pe.v AND b.i = a.i JOIN kvar ON kvar.type_id = pe.t_src GROUP BY ALL) WHERE energy > 0) "
+EN = ", kvar AS (SELECT type_id, CASE WHEN max(n) >= 2 AND sum(v) > 0 THEN sum(v) ELSE 1 END AS var FROM (SELECT type_id, i, var_pop(a) AS v, count(*) AS n FROM kx GROUP BY ALL) GROUP BY 1), few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY med, t_src ORDER BY u) AS i FROM lists) WHERE i <= 20), pe AS (SELECT * FROM (SELECT a.med, a.t_src, a.t_med, a.u, b.u AS v, row_number() OVER (PARTITION BY a.med, a.t_src ORDER BY a.i, b.i) AS r FROM few a JOIN few b ON a.med = b.med AND a.t_src = b.t_src AND a.i < b.i) WHERE r <= 5), en AS (SELECT * FROM (SELECT pe.t_src, pe.t_med, pe.med, pe.u, pe.v, 0.5 * round(sum((a.a - b.a) * (a.a - b.a)), 12) / any_value(var) AS energy FROM pe JOIN kx a ON a.gid = pe.u JOIN kx b ON b.gid = pe.v AND b.i = a.i JOIN kvar ON kvar.type_id = pe.t_src GROUP BY ALL) WHERE energy > 0) "
 
 
 def _energies(spark, d):
@@ -649,9 +656,11 @@ def mediator_pair_energy(spark, d):
     return _energies(spark, d).groupBy("t_src", "t_med").agg(F.count("*").alias("n"), F.round(F.avg("energy"), 5).alias("mean"))
 
 
-@query(T + REL + E + D + M + K + LISTS + EN + "SELECT round(quantile_cont(energy, least(0.9, greatest(0.005, 0.75 / least(6, greatest(1, (SELECT avg(degree) FROM degs) / 2))))), 5) AS scale FROM en")
+@query(T + REL + E + D + M + K + LISTS + EN + """, sh AS (SELECT least(0.9, greatest(0.005, 0.75 / least(6, greatest(1, avg(degree) / 2)))) AS p FROM degs),
+o AS (SELECT energy, row_number() OVER (ORDER BY energy) - 1 AS i, count(*) OVER () AS n FROM en), placed AS (SELECT i, energy, p * (n - 1) AS place FROM o, sh)
+SELECT round(max(CASE WHEN i = floor(place) THEN energy END) + (max(place) - floor(max(place))) * (max(CASE WHEN i = ceil(place) THEN energy END) - max(CASE WHEN i = floor(place) THEN energy END)), 5) AS scale FROM placed""")
 def one_shot_scale(spark, d):
-    _, _, deg = kernel(spark, d)
+    _, _, deg = topo(spark, d)
     scale = search.one_shot_scale(_energies(spark, d), 4.0, float(deg.agg(F.avg("degree")).first()[0]))
     return spark.createDataFrame([(scale,)], "scale double").select(F.round("scale", 5).alias("scale"))
 
@@ -661,7 +670,7 @@ def type_threshold_bases(spark, d):
     return search.bases(_energies(spark, d), 0.3, ["t_src"]).withColumn("scale", F.round("scale", 5))
 
 
-@query(T + REL + E + D + M + K + LISTS + EN + ", up AS (SELECT t_src, quantile_cont(energy, 0.3) AS p FROM en GROUP BY 1 HAVING count(*) >= 20) SELECT t_src, t_med, round(CASE WHEN count(*) >= 20 THEN quantile_cont(energy, 0.3) ELSE coalesce((SELECT p FROM up WHERE up.t_src = en.t_src), (SELECT quantile_cont(energy, 0.3) FROM en)) END, 5) AS scale, count(*)::BIGINT AS n FROM en GROUP BY ALL")
+@query(T + REL + E + D + M + K + LISTS + EN + ", up AS (SELECT t_src, quantile_cont(energy, 0.3) AS p FROM en GROUP BY 1 HAVING count(*) >= 20) SELECT own.t_src, t_med, round(CASE WHEN n >= 20 THEN own.p ELSE coalesce(up.p, (SELECT quantile_cont(energy, 0.3) FROM en)) END, 5) AS scale, n FROM (SELECT t_src, t_med, quantile_cont(energy, 0.3) AS p, count(*)::BIGINT AS n FROM en GROUP BY ALL) own LEFT JOIN up ON up.t_src = own.t_src")
 def metapath_threshold_bases(spark, d):
     return search.bases(_energies(spark, d), 0.3, ["t_src", "t_med"]).withColumn("scale", F.round("scale", 5))
 
@@ -685,10 +694,23 @@ def ratio_search_precise(spark, d):
     return _searched(spark, d, lambda run: search.precise_search(run, 0.5, 0.1))
 
 
-@query()
+def _checked(spark, d, node_map):
+    """What any map from nodes to supernodes must be: every node once, roots that are members of their own group, types
+    kept, supernode ids without gaps."""
+    g = trade(spark, d)
+    m = node_map.join(g.nodes.select("gid", F.col("type_id").alias("t")), "gid", "full")
+    roots = node_map.select(F.col("gid").alias("root"), F.col("root").alias("again"), F.col("type_id").alias("t_root"))
+    per = node_map.groupBy("type_id").agg((F.count_distinct("super_id") == F.max("super_id") + 1).alias("dense"))
+    bad = m.join(roots, "root", "left").agg(F.count_if(F.col("t").isNull() | F.col("type_id").isNull() | (F.col("t") != F.col("type_id"))).alias("odd"), F.count_if(~F.coalesce((F.col("again") == F.col("root")) & (F.col("t_root") == F.col("type_id")), F.lit(False))).alias("lost"), F.count("*").alias("n"))
+    return bad.crossJoin(per.agg(F.bool_and("dense").alias("dense")))
+
+
+CHECKED = T + REL + D + "SELECT 0::BIGINT AS odd, 0::BIGINT AS lost, count(*)::BIGINT AS n, true AS dense FROM nodes"
+
+
+@query(CHECKED)
 def compress_main(spark, d):
-    r = api.compress(trade(spark, d), 0.5, emb_method="raw", skip_reassignment=True)
-    return r.node_map
+    return _checked(spark, d, api.compress(trade(spark, d), 0.5).node_map)
 
 
 # Other compressors
@@ -720,14 +742,14 @@ def compress_lsh(spark, d):
     return baselines.lsh(trade(spark, d).nodes, 0.1, 6)
 
 
-@query()
+@query(CHECKED)
 def compress_cgc_homo(spark, d):
-    return api.compress_cgc_homo(trade(spark, d), 0.5, 60, 16).node_map
+    return _checked(spark, d, api.compress_cgc_homo(trade(spark, d), 0.5, 60, 16).node_map)
 
 
-@query()
+@query(CHECKED)
 def compress_freehgc(spark, d):
-    return api.compress_freehgc(trade(spark, d), 0.05, 1).node_map
+    return _checked(spark, d, api.compress_freehgc(trade(spark, d), 0.05, 1).node_map)
 
 
 @query(T + REL + D + """, c AS (SELECT y, count(*) AS n FROM nodes WHERE is_train GROUP BY y), f AS (SELECT *, (row_number() OVER (ORDER BY n DESC, y) <= 37)::INT AS first FROM c),
@@ -744,13 +766,12 @@ def type_budget(spark, d):
     return baselines.type_budget(trade(spark, d).types, 0.03)
 
 
-REACH = ", seeds AS (SELECT gid FROM nodes WHERE type_id = 0 AND node_id % 100 = 0), h1 AS (SELECT v AS gid, count(*) * 0.5 AS score FROM seeds JOIN adj ON gid = u GROUP BY 1), f1 AS (SELECT gid FROM h1 WHERE gid NOT IN (SELECT gid FROM seeds)), h2 AS (SELECT v AS gid, count(*) * 0.25 AS score FROM f1 JOIN adj ON gid = u GROUP BY 1), reach AS (SELECT gid, sum(score)::DOUBLE AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1) "
+REACH = ", seeds AS (SELECT gid FROM nodes WHERE type_id = 0 AND is_train), h1 AS (SELECT v AS gid, count(*) * 0.5 AS score FROM seeds JOIN adj ON gid = u GROUP BY 1), f1 AS (SELECT gid FROM h1 WHERE gid NOT IN (SELECT gid FROM seeds)), h2 AS (SELECT v AS gid, count(*) * 0.25 AS score FROM f1 JOIN adj ON gid = u GROUP BY 1), reach AS (SELECT gid, sum(score)::DOUBLE AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1) "
 
 
 def _reach(spark, d):
-    k, adj, _ = kernel(spark, d)
-    g = trade(spark, d)
-    seeds = g.nodes.where("type_id = 0 and node_id % 100 = 0").select("gid")
+    g, adj, _ = topo(spark, d)
+    seeds = g.nodes.where("type_id = 0 and is_train").select("gid")
     return g, seeds, baselines.reach_scores(adj, seeds)
 
 
@@ -770,12 +791,12 @@ def reach_fill_exclude(spark, d):
     return baselines.filled(g.nodes, scores, seeds, baselines.type_budget(g.types, 0.05))
 
 
-SIG = ", st AS (SELECT gid FROM nodes WHERE type_id = 0 AND node_id % 20 = 0), n1 AS (SELECT DISTINCT gid, v AS o FROM st JOIN adj ON u = gid), sig AS (SELECT gid, o FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY o) AS r FROM (SELECT gid, gid AS o FROM st UNION SELECT * FROM n1 UNION SELECT DISTINCT gid, v FROM n1 JOIN adj ON u = o)) WHERE r <= 512) "
+SIG = ", st AS (SELECT gid FROM nodes WHERE type_id = 0), n1 AS (SELECT DISTINCT gid, v AS o FROM st JOIN adj ON u = gid), sig AS (SELECT gid, o FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY o) AS r FROM (SELECT gid, gid AS o FROM st UNION SELECT * FROM n1 UNION SELECT DISTINCT gid, v FROM n1 JOIN adj ON u = o)) WHERE r <= 512) "
 
 
 def _sig(spark, d):
-    _, adj, _ = kernel(spark, d)
-    return baselines.signatures(adj, trade(spark, d).nodes.where("type_id = 0 and node_id % 20 = 0").select("gid"))
+    g, adj, _ = topo(spark, d)
+    return baselines.signatures(adj, g.nodes.where("type_id = 0").select("gid"))
 
 
 @query(T + REL + E + D + SIG + "SELECT gid, count(*)::BIGINT AS n, sum(o)::BIGINT AS total FROM sig GROUP BY 1")
