@@ -119,6 +119,14 @@ def edge_validate(spark, d):
     return outside(g.edges.unionByName(bad), g.types).agg(F.count("*").alias("bad"))
 
 
+@query(T + REL + "SELECT src_type, rel, dst_type, src, dst FROM rel WHERE rel = 'contains'")
+def edge_orientation(spark, d):
+    """Rows handed over the wrong way round are turned back."""
+    g = trade(spark, d)
+    e = g.edges.where("rel = 'contains'")
+    return graphs.oriented(e.select("src_type", "rel", "dst_type", F.col("dst").alias("src"), F.col("src").alias("dst")), g.types)
+
+
 @query(T + REL + "SELECT rel, count(*)::BIGINT AS n FROM g GROUP BY rel")
 def edge_unknown_type_skip(spark, d):
     g = trade(spark, d)

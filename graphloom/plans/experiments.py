@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 from collections.abc import Callable
 
@@ -17,34 +18,130 @@ def seeds(base: int, runs: int, warmup: int) -> list[int]:
     return [base + 1_000_000 + i for i in range(warmup) for _ in range(2)] + [base + i for i in range(runs)]
 
 
-def run_once(graph: TypedGraph, ratio: float, compressor: Callable, **how) -> dict:
-    """One record: compress, bound, fit a probe on supernodes, score it on original nodes."""
-    t = time.time()
-    res = compressor(graph, ratio=ratio, **how)
-    seconds = time.time() - t
+def accepted(f: Callable, **options) -> dict:
+    """Those of ``options`` that ``f`` takes by name."""
+    import inspect
+
+    names = inspect.signature(f).parameters
+    return {k: v for k, v in options.items() if k in names}
+
+
+def evaluated(graph: TypedGraph, node_map: DataFrame, super_y: DataFrame) -> dict:
+    """Bound and scores of a map: a probe is fitted on supernodes (type_id, super_id, y) and judged on original nodes."""
     t_id = graph.types.where(F.col("node_type") == graph.target).first()["type_id"]
-    bound = metrics.oracle_upper_bound(graph.nodes, res.node_map).first().asDict()
+    bound = metrics.oracle_upper_bound(graph.nodes, node_map).first().asDict()
     h = embed.fast_embed(graph.nodes, global_edges(graph.edges, graph.types))
-    sup = h.join(res.node_map.select("gid", "type_id", "super_id"), "gid").where(F.col("type_id") == t_id)
+    sup = h.join(node_map.select("gid", "type_id", "super_id"), "gid").where(F.col("type_id") == t_id)
     mean = embed.vector_mean(sup.select("type_id", "super_id", F.col("h").alias("x")), ["type_id", "super_id"]).withColumnRenamed("x", "h")
-    labelled = mean.join(res.data.nodes.select("type_id", "super_id", "y"), ["type_id", "super_id"])
+    labelled = mean.join(super_y.select("type_id", "super_id", "y"), ["type_id", "super_id"])
     pred = probe.predicted(probe.fitted(labelled.where("y >= 0")), labelled)
-    score = metrics.classification(metrics.on_originals(pred.select("type_id", "super_id", "p"), graph.nodes, res.node_map)).first().asDict()
+    score = metrics.classification(metrics.on_originals(pred.select("type_id", "super_id", "p"), graph.nodes, node_map)).first().asDict()
+    return {"upper_bound": bound["upper_bound"], "oracle_gap": (bound["upper_bound"] or 0) - (score["accuracy"] or 0)} | score
+
+
+def run_once(graph: TypedGraph, ratio: float, compressor: Callable, seed: int = 42, **how) -> dict:
+    """One record: compress (the seed goes to compressors that take one), bound, fit a probe on supernodes, score it on
+    original nodes, and compare what is stored."""
+    t = time.time()
+    res = compressor(graph, ratio=ratio, **how, **accepted(compressor, seed=seed))
+    seconds = time.time() - t
+    found = evaluated(graph, res.node_map, res.data.nodes)
+    whole, small = (metrics.storage(n, e).first()["bytes"] for n, e in ((graph.nodes, graph.edges), (res.data.nodes, res.data.edges)))
     plain = {k: v for k, v in res.info.items() if isinstance(v, int | float | str | bool)}
-    return plain | {"ratio": ratio, "seconds": seconds, "upper_bound": bound["upper_bound"], "oracle_gap": (bound["upper_bound"] or 0) - (score["accuracy"] or 0)} | score
+    return plain | {"ratio": ratio, "seed": seed, "seconds": seconds, "storage_ratio": small / max(1, whole)} | found
 
 
-def run_sweep(graph: TypedGraph, ratios: list[float], compressor: Callable, runs: int = 3, warmup: int = 1, base_seed: int = 42, run: Callable = run_once, **how) -> list[dict]:
-    """A record for each ratio and timed seed; warm-up runs are thrown away."""
+def run_baseline(graph: TypedGraph, seed: int = 42) -> dict:
+    """The same probe on the graph as it is: every node is its own supernode."""
+    t = time.time()
+    one = graph.nodes.select("type_id", "gid", F.col("node_id").alias("super_id"), F.when(F.col("is_train"), F.col("y")).otherwise(-1).alias("y"))
+    return {"method": "original", "ratio": 1.0, "seed": seed} | evaluated(graph, one.drop("y"), one) | {"seconds": time.time() - t}
+
+
+def eval_pipeline(graph: TypedGraph, label: str, cmap: DataFrame, **how) -> dict:
+    """A record for a stored map (gid, root): retention by type, the quotient, and its scores beside the original's."""
+    from .api import finish
+
+    res = finish(graph, cmap, {"method": label}, **how)
+    kept = res.node_map.groupBy("type_id").agg((F.count_distinct("super_id") / F.count("*")).alias("kept")).join(graph.types, "type_id").collect()  # one row for each type
+    found, base = evaluated(graph, res.node_map, res.data.nodes), run_baseline(graph)
+    return {"method": label, "retention": res.ratio, "by_type": {r["node_type"]: r["kept"] for r in kept}, "baseline_accuracy": base["accuracy"], "accuracy_loss": (base["accuracy"] or 0) - (found["accuracy"] or 0)} | found
+
+
+def run_sweep(graph: TypedGraph, ratios: list[float], compressor: Callable, runs: int = 3, warmup: int = 1, base_seed: int = 42, run: Callable = run_once, after: Callable[[list[dict]], None] | None = None, **how) -> list[dict]:
+    """A record for each ratio and timed seed, which every run gets; warm-up runs come once, at the first ratio, and are
+    thrown away. ``after`` gets a ratio's records when it is done, so a crash loses one ratio at most."""
     out = []
-    for ratio in ratios:
-        for i, seed in enumerate(seeds(base_seed, runs, warmup)):
-            record = run(graph, ratio, compressor, **how) | {"seed": seed}
-            if i >= 2 * warmup:
-                out.append(record)
+    for n, ratio in enumerate(ratios):
+        warm = warmup if n == 0 else 0
+        records = [run(graph, ratio, compressor, seed=seed, **how) | {"seed": seed} for seed in seeds(base_seed, runs, warm)][2 * warm :]
+        if after:
+            after(records)
+        out += records
     return out
 
 
+class Stages:
+    """Wall seconds of named stages: ``with stages("build"): ...``."""
+
+    def __init__(self):
+        self.seconds: dict[str, float] = {}
+
+    @contextlib.contextmanager
+    def __call__(self, name: str):
+        t = time.time()
+        try:
+            yield
+        finally:
+            self.seconds[name] = self.seconds.get(name, 0.0) + time.time() - t
+
+
+def provenance(spark: SparkSession, **arguments) -> dict:
+    """What a run depends on: versions, arguments, the session's size and the time."""
+    import platform
+
+    return {"python": platform.python_version(), "spark": spark.version, "machine": platform.platform(), "parallelism": spark.sparkContext.defaultParallelism, "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"), "time": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "arguments": arguments}
+
+
+def markdown(rows: list[dict], columns: list[str]) -> str:
+    """A Markdown table; numbers with four places, missing values empty."""
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [columns, ["---"] * len(columns), *([cell(r.get(c)) for c in columns] for r in rows)]
+    return "".join(f"| {' | '.join(x)} |\n" for x in lines)
+
+
+def console(rows: list[dict], columns: list[str]) -> str:
+    """The same as aligned plain text."""
+    table = [columns, *([f"{v:.4f}" if isinstance(v := r.get(c), float) else "" if v is None else str(v) for c in columns] for r in rows)]
+    width = [max(len(r[i]) for r in table) for i in range(len(columns))]
+    return "\n".join("  ".join(x.rjust(w) for x, w in zip(r, width, strict=True)).rstrip() for r in table)
+
+
+def report(spark: SparkSession, folder: str, records: list[dict], keys: list[str], values: list[str], **arguments) -> None:
+    """Writes into ``folder`` (any path that Spark writes): rows and summary as Parquet and CSV, a Markdown table of the
+    summary, and a manifest of what was run. Summaries have a row for each configuration."""
+    import json
+
+    saved(spark, records, f"{folder}/rows", "overwrite")
+    per = summary(spark.createDataFrame([{k: r.get(k) for k in (*keys, *values)} for r in records]), keys, values).orderBy(*keys)
+    per.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/summary.csv")
+    rows = [r.asDict() for r in per.collect()]
+    manifest = {"records": len(records), "configurations": len(rows), "keys": keys, "values": values} | provenance(spark, **arguments)
+    for name, text in (("summary.md", markdown(rows, per.columns)), ("manifest.json", json.dumps(manifest, indent=1, default=str))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+
+
+#: Names of methods in reports, and other names of data sets.
+LABELS = {"main": "typed coarsening", "random_type": "random by type", "lsh": "hashed order", "cgc_homo": "greedy, untyped", "freehgc": "selection", "cgc_type": "typed coarsening, preset", "original": "original graph"}
+ALIASES = {"acm": "acm3", "mag": "ogbn-mag", "lfm": "lastfm"}
+
+
+def label(method: str) -> str:
+    """A method's label; ``name:embedding`` gives the name's with the embedding."""
+    name, _, emb = method.partition(":")
+    return LABELS.get(name, name) + (f" on {emb}" if emb else "")
+
+
 def summary(runs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Mean and population deviation over runs; missing values don't count."""
     return runs.groupBy(*keys).agg(F.count("*").alias("runs"), *(a for v in values for a in (F.avg(v).alias(f"{v}_mean"), F.stddev_pop(v).alias(f"{v}_std"))))

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import baselines, coarsen, quotient, search, topology
+from graphloom.operators import baselines, coarsen, embed, quotient, search, topology
 from graphloom.plans import api, catalog, experiments
+from graphloom.sources import graphs
 from graphloom.schema import TypedGraph, global_edges, infer_target, typed_catalogue, validated
 
 EDGE = "src_type string, rel string, dst_type string, src long, dst long"
@@ -126,3 +127,76 @@ def test_contract(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries()) and set(catalog.QUERIES) <= set(e.queries())
+
+
+def test_compress_reaches_its_ratio(spark):
+    g = small_graph(spark)
+    r = api.compress(g, 0.5)
+    check_map(g, r.node_map.select("gid", "root"))
+    assert r.node_map.count() == 48 and 0.4 <= r.ratio <= 0.75
+
+
+def test_nearest_anchor_loses_no_node(spark):
+    n = spark.createDataFrame([(0, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 0, [0.9, 0.1]), (3, 1, [1.0]), (4, 0, None)], "gid long, type_id int, x array<double>")
+    got = {r.gid: r.root for r in baselines.nearest_anchor(n, n.where("gid < 2").select("gid", "type_id")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 0}
+
+
+def test_sweep_hands_out_its_seeds():
+    seen, done = [], []
+
+    def run(graph, ratio, compressor, seed, **how):
+        seen.append((ratio, seed, how["max_candidates"]))
+        return {"ratio": ratio}
+
+    out = experiments.run_sweep(None, [0.5, 0.1], None, runs=2, warmup=1, run=run, after=done.append, max_candidates=128)
+    assert seen == [(0.5, s, 128) for s in (1000042, 1000042, 42, 43)] + [(0.1, 42, 128), (0.1, 43, 128)]
+    assert [r["seed"] for r in out] == [42, 43, 42, 43] and [len(x) for x in done] == [2, 2]
+    got = []
+    experiments.accepted(lambda graph, seed: None, seed=1) and got.append(1)
+    assert got == [1] and experiments.accepted(lambda graph: None, seed=1) == {}
+
+
+def test_reports_and_orientation(spark, tmp_path):
+    rows = [{"method": "a", "ratio": r, "accuracy": a} for r, a in ((0.5, 0.8), (0.5, 0.6), (0.1, None))]
+    experiments.report(spark, str(tmp_path / "out"), rows, ["method", "ratio"], ["accuracy"], seeds=[1])
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out" / "summary.md")).collect())
+    assert "| a | 0.5000 | 2 | 0.7000 | 0.1000 |" in text
+    assert '"records": 3' in "\n".join(r.value for r in spark.read.text(str(tmp_path / "out" / "manifest.json")).collect())
+    assert spark.read.parquet(str(tmp_path / "out" / "rows")).count() == 3
+    assert experiments.console(rows, ["method", "accuracy"]).split("\n")[1].split() == ["a", "0.8000"]
+    assert experiments.label("cgc_homo:fast") == "greedy, untyped on fast"
+    types = spark.createDataFrame([(0, "a", 2, 0), (1, "b", 9, 2)], "type_id int, node_type string, n long, offset long")
+    e = spark.createDataFrame([("a", "r", "b", 8, 1), ("b", "s", "a", 8, 1)], "src_type string, rel string, dst_type string, src long, dst long")
+    assert sorted((r.rel, r.src, r.dst) for r in graphs.oriented(e, types).collect()) == [("r", 1, 8), ("s", 8, 1)]
+    with pytest.raises(ValueError):
+        graphs.oriented(e.withColumn("dst", F.lit(99).cast("long")), types)
+
+
+def test_attention_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(2)
+    x = {i: rng.normal(size=3) for i in range(6)}
+    edges = [("a", "r", "b", s, d) for s, d in ((0, 4), (1, 4), (1, 4), (2, 5), (3, 5))] + [("b", "q", "a", 4, 0), ("b", "q", "a", 5, 0)]
+    h = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "gid long, h array<double>")
+    g = spark.createDataFrame(edges, "src_type string, rel string, dst_type string, s long, d long")
+
+    def mixed(score, value):
+        out = {}
+        for node in {e[4] for e in edges}:
+            mine = [e for e in edges if e[4] == node]
+            w = np.exp([score(e) for e in mine])
+            out[node] = sum(p * value(e) for p, e in zip(w / w.sum(), mine, strict=True))
+        return out
+
+    want = []
+    for head in range(2):
+        w, a = np.array(embed.weights(3, 4, seed=2 * head)), np.array(embed.weights(8, seed=2 * head + 1))
+        raw = lambda e: np.concatenate([x[e[3]] @ w, x[e[4]] @ w]) @ a  # noqa: B023, E731
+        want.append(mixed(lambda e: max(raw(e), 0.2 * raw(e)), lambda e: x[e[3]] @ w))  # noqa: B023
+    got = {r.gid: r.h for r in embed.gat_forward(h, g, 3, 4, 2).collect()}
+    assert set(got) == {0, 4, 5} and all(np.allclose(got[i], (want[0][i] + want[1][i]) / 2) for i in got)
+    kind, rel = {"a": 0, "b": 1}, {"r": 0, "q": 1}
+    m = lambda seed: np.array(embed.weights(3, 3, seed=seed))
+    want = mixed(lambda e: (x[e[3]] @ m(kind[e[0]]) @ m(1000 + rel[e[1]])) @ (x[e[4]] @ m(100 + kind[e[2]])) / 3**0.5, lambda e: x[e[3]] @ m(200 + kind[e[0]]) @ m(2000 + rel[e[1]]))
+    got = {r.gid: r.h for r in embed.hgt_forward(h, g, 3).collect()}
+    assert all(np.allclose(got[i], want[i]) for i in (0, 4, 5))
