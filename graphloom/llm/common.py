@@ -60,6 +60,14 @@ def fresh(columns: list[str], *names: str) -> str | list[str]:
     return out if len(out) > 1 else out[0]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """From now on Arrow batches of this session hold at most ``rows`` rows, so that whole texts of any usual length fit in
+    a Python worker's share of memory. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,6 +91,7 @@ def with_columns_from_text(df: DataFrame, text_col: str, fields: list[T.StructFi
     text counts as empty) to a list of columns, one for each of ``fields``. A column that has the name of a new one is
     replaced. ``where`` names a boolean new column by which rows are kept; it is dropped.
     """
+    small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     read = list(dict.fromkeys([*kept, text_col]))

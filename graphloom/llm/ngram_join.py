@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bits_of, components, dropped, fresh, mix, slices, within_bits, written
+from .common import bits_of, components, dropped, fresh, mix, slices, small_batches, within_bits, written
 
 MASK = 2**64 - 1
 ROWS = 8  # fragments in which overlaps are counted
@@ -289,6 +289,7 @@ def rooted(df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
     """(id, t, n, c) for each row of ``df``: its key, its number of shingles and its component. Only the two tables that
     the result reads stay in the shared folder."""
     spark = df.sparkSession
+    small_batches(spark)
     send = spark.sparkContext.broadcast
     rows = written(narrow_of(df, id_col, text_col, width), "rows")
     # Signatures that two different sets share, by 48 of their bits; the smallest and largest node tell that without a list

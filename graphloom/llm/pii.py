@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, with_columns_from_text
+from .common import fresh, small_batches, with_columns_from_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -216,6 +216,8 @@ def estimate(cells: dict[tuple[str, int, int, int, int], int], rounds: int = 50)
 def train(df: DataFrame, text_col: str = "text") -> SpanModel:
     """Counts the votes over all rows; the driver gets at most one row for each (kind, votes, shape)."""
 
+    small_batches(df.sparkSession)
+
     def count(batches):
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices
+from .common import mix, slices, small_batches
 from .lattice import Lattice, Vocabulary, cut, load, shared
 
 MASK = 2**64 - 1
@@ -251,6 +251,7 @@ def encode(df: DataFrame, k: int = 2, seed: int = 11, id_col: str = "doc_id", te
     """A row for each row of ``df`` and sample: the columns ``keep`` (all but the text unless given), sample, ids, n_ids, log_prob,
     perturbed, inclusion and exact (whether decoding gives the text back). The vocabulary's path is read on the driver;
     tasks get its arrays, whose size it bounds."""
+    small_batches(df.sparkSession)
     vocabulary_of = shared(df.sparkSession, load(vocabulary))
     fields = [T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perturbed", T.DoubleType()), T.StructField("inclusion", T.DoubleType()), T.StructField("exact", T.BooleanType())]
     new = {f.name for f in fields}
