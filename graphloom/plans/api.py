@@ -89,17 +89,18 @@ def compress_lsh(graph: TypedGraph, ratio: float = 0.1, hash_bits: int = 16, **h
 
 def compress_cgc_homo(graph: TypedGraph, ratio: float = 0.1, max_hub_degree: int = 512, max_candidates: int = 128, **how) -> Result:
     k = coarsen.kernel_of(graph)
+    k = coarsen.Kernel(coarsen.settled(k.nodes), coarsen.settled(k.edges))
     adj = topology.adjacency(k.edges)
     deg = topology.degrees(adj, k.nodes)
     cand = topology.two_hop_candidates(adj, deg, max_hub_degree, max_candidates)
-    return finish(graph, baselines.cgc_homo(cand, k.nodes, deg, ratio), {"method": "cgc_homo"}, **how)
+    return finish(graph, coarsen.settled(baselines.cgc_homo(cand, k.nodes, deg, ratio)), {"method": "cgc_homo"}, **how)
 
 
 def compress_freehgc(graph: TypedGraph, ratio: float = 0.1, num_hops: int = 2, **how) -> Result:
     k = coarsen.kernel_of(graph)
     g = global_edges(graph.edges, graph.types)
     reps = embed.hop_concat(embed.start(graph.nodes, 4), g, num_hops)
-    return finish(graph, baselines.freehgc(graph, topology.adjacency(k.edges), reps, ratio, num_hops), {"method": "freehgc"}, **how)
+    return finish(graph, baselines.freehgc(graph, topology.adjacency(coarsen.settled(k.edges)), reps, ratio, num_hops), {"method": "freehgc"}, **how)
 
 
 #: Compressors by name.
