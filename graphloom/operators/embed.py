@@ -148,7 +148,7 @@ def metapath_embed(graph, g: DataFrame, dim: int = 16, length: int = 50, per_nod
     from pyspark.ml.feature import Word2Vec
 
     t = graph.types.where(F.col("node_type") == graph.target).first()["type_id"]
-    kinds = sorted({tuple(sorted(r)) for r in g.select("st", "dt").distinct().collect() if t in r})  # one for each relation
+    kinds = sorted({tuple(sorted(r)) for r in g.select("st", "dt").distinct().collect() if t in tuple(r)})  # one for each relation
     out = graph.nodes.select("gid", F.array().cast("array<double>").alias("h"))
     for n, (a, b) in enumerate(kinds):
         some = g.where(((F.col("st") == a) & (F.col("dt") == b)) | ((F.col("st") == b) & (F.col("dt") == a)))
