@@ -43,6 +43,7 @@ MASK = 2**64 - 1
 ROWS = 8  # fragments in which overlaps are counted
 CELLS = 64  # finer fragments in which overlaps are bounded
 HEAD = 8  # a node's smallest signatures, by which a pair is told to be at its smallest shared one
+SLICE = 300_000  # characters whose words a Python worker holds at once
 BLOCK = 512  # members of a large group that meet those of another block in one task
 
 
@@ -132,7 +133,7 @@ def narrow_of(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 found = shingles(texts[lo:hi], width)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([len(x) for x in found], pa.int64()), pa.array([node_of(x) for x in found], pa.int64())], names=["id", "t", "n", "node"])
 
@@ -151,7 +152,7 @@ def signatures(df: DataFrame, text_col: str, width: int, percent: int, b_b=None)
         scheme = Scheme(percent)
         for b in batches:
             texts = b.column(0).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 found = [s for s in shingles(texts[lo:hi], width) if len(s)]
                 sig = [segments(s, scheme) for s in found]
                 node = np.repeat(np.array([node_of(s) for s in found], np.int64), [len(x) for x in sig])
@@ -172,7 +173,7 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, width: int, b_b, whole: b
         for b in batches:
             b = b.filter(pa.array(within_bits(b_b.value, b.column(0).to_numpy())))
             texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 sets = [s for s in shingles(texts[lo:hi], width) if len(s)]
                 if not sets:
                     continue
