@@ -3,8 +3,8 @@
 Equal directions are one node (whatever the number of rows). Every node starts with neighbours from a few orders along
 random projections, and the graph is refined: around each node its neighbours and reverse neighbours (both bounded) are
 compared with each other, and every node keeps its nearest. Nodes whose lists are saturated, all at or above the
-threshold, get longer lists; those still saturated at the longest list are compared, as a query set in blocks, with all
-nodes, which finds all their links. Recall over the other nodes' links is audited by brute force, on a set of nodes that
+threshold, get longer lists; those whose list still holds links only are compared, as a query set in blocks, with all
+nodes, which finds all their links; these are summed and tied tile by tile, so a large group is never listed by pairs. Recall over the other nodes' links is audited by brute force, on a set of nodes that
 grows until ``enough`` of their links are seen, and the target holds: where it is missed, links are sought along more
 orders, and then, or at once among few nodes, all nodes whose links aren't all known are compared with each other. Kept
 edges are those with cosine >= threshold in double precision.
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, partitions, written
+from .common import components, dropped, partitions, written
 
 BLOCK = 2048
 FEW = 1 << 16  # up to so many nodes, comparing all is cheaper than more orders
@@ -159,38 +159,103 @@ def refined(graph: DataFrame, nodes: DataFrame, reverse: int) -> DataFrame:
     return around.select("near").mapInArrow(compare, "u long, v long, sim double")
 
 
-def against_all(queries: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, sim) for query nodes and all nodes at or above the threshold, block by block: queries are dealt into
-    blocks of at most BLOCK rows, and each block meets every partition's rows once."""
-    blocks = queries.withColumn("block", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.col("node"), F.lit(64))).orderBy("node")) / BLOCK).cast("long") * 64 + F.pmod(F.col("node"), F.lit(64)))
-    packed = blocks.groupBy("block").agg(F.collect_list(F.struct("node", "v")).alias("q"))
-    spark = nodes.sparkSession
-    tiles = max(8, 2 * partitions(spark))
-    tiled = nodes.withColumn("tile", F.pmod(F.xxhash64("node"), F.lit(tiles)))
-    sent = packed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("tile", F.col("tile").cast("long"))
-
-    def tile(key, left, right):
-        del key
-        names, lists = right.column("node").to_pylist(), right.column("v").to_pylist()
-        mine = by_length(lists)
-        us, vs, ss = [], [], []
-        for q in left.column("q").to_pylist():
-            for n, (rows, x) in by_length([r["v"] for r in q]).items():
-                if n not in mine:
-                    continue
-                at, y = mine[n]
-                qn, yn = np.array([q[i]["node"] for i in rows]), np.array([names[i] for i in at])
-                for lo in range(0, len(yn), BLOCK):
-                    sim = x @ y[lo : lo + BLOCK].T
-                    i, j = np.nonzero(sim >= threshold - 1e-9)
-                    us.append(qn[i])
-                    vs.append(yn[lo + j])
-                    ss.append(sim[i, j])
-        u, v, s = (np.concatenate(z) if z else np.zeros(0) for z in (us, vs, ss))
-        other = u != v
-        return pa.table({"u": u[other].astype(np.int64), "v": v[other].astype(np.int64), "sim": s[other].astype(float)})
+def matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of a column of vectors, by their length."""
+    lists = column.combine_chunks()
+    off, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    size = np.diff(off)
+    rows_of = {int(n): np.flatnonzero(size == n) for n in np.unique(size)}
+    return {n: (rows, values[off[rows][:, None] + np.arange(n)]) for n, rows in rows_of.items()}
+
+
+def met(queries: DataFrame, nodes: DataFrame, meet, schema: str) -> DataFrame:
+    """What ``meet(queries, nodes)`` makes of each block of query nodes and each tile of nodes. Both hold about ASKED rows
+    at most, whatever the number of rows, and each block meets each tile in a task of its own."""
+    blocks = max(1, -(-queries.count() // ASKED))
+    tiles = max(8, -(-nodes.count() // ASKED))
+    cell = lambda block, tile: (F.col(block) * tiles + F.col(tile)).alias("cell")
+    named = lambda df: [F.col(c).alias(c) for c in df.columns]  # noqa: E731  (both sides may come from one table)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumns({"b": F.pmod(F.xxhash64("node"), F.lit(blocks)), "t": all_of(tiles)}).select(cell("b", "t"), *named(queries))
+    right = nodes.withColumns({"t": F.pmod(F.xxhash64("node"), F.lit(tiles)), "b": all_of(blocks)}).select(cell("b", "t"), *named(nodes))
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(lambda key, q, y: meet(q, y), schema)
+
+
+def hits(queries: pa.Table, nodes: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of ``queries``, row of ``nodes``, sim) at or above the threshold, in pieces; a node doesn't meet itself."""
+    qn, yn, mine = queries.column("node").to_numpy(), nodes.column("node").to_numpy(), matrices(nodes.column("v"))
+    for n, (rows, x) in matrices(queries.column("v")).items():
+        at, y = mine.get(n, (None, np.zeros((0, n))))
+        for a in range(0, len(rows), BLOCK // 2):
+            for b in range(0, len(y), BLOCK):
+                sim = x[a : a + BLOCK // 2] @ y[b : b + BLOCK].T
+                i, j = np.nonzero(sim >= threshold)
+                sim, i, j = sim[i, j], rows[a + i], at[b + j]
+                other = qn[i] != yn[j]
+                yield i[other], j[other], sim[other]
 
-    return sent.groupBy("tile").cogroup(tiled.groupBy("tile")).applyInArrow(tile, "u long, v long, sim double")
+
+def against_all(queries: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, sim) for query nodes u and all nodes v at or above the threshold."""
+
+    def meet(queries: pa.Table, nodes: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0)), *hits(queries, nodes, threshold)]
+        i, j, sim = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"u": queries.column("node").to_numpy()[i], "v": nodes.column("node").to_numpy()[j], "sim": sim})
+
+    return met(queries.select("node", "v"), nodes.select("node", "v"), meet, "u long, v long, sim double")
+
+
+class Forest:
+    """Components of numbered nodes; of the links given, those that join components come back."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def joined(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept_i, kept_j = [i[:0]], [j[:0]]
+        while True:
+            a, b = self.label[i], self.label[j]
+            apart = a != b
+            if not apart.any():
+                return np.concatenate(kept_i), np.concatenate(kept_j)
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            # Each component that has a smaller neighbour is tied to its smallest one, by one link.
+            best = np.full(len(self.label), np.iinfo(np.int64).max)
+            np.minimum.at(best, np.maximum(a, b), (np.minimum(a, b) << 32) + np.arange(len(a)))
+            tied = np.flatnonzero(best < np.iinfo(np.int64).max)
+            parent = np.arange(len(self.label))
+            parent[tied] = best[tied] >> 32
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            self.label = parent[self.label]
+            chosen = best[tied] & 0xFFFFFFFF
+            kept_i.append(i[chosen])
+            kept_j.append(j[chosen])
+
+
+def summed(queries: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The links of query nodes with all nodes (node, v, size, asked: whether it is a query too), without a list of them.
+    Rows (kind, u, v, w): "sum", rows linked with query u in one tile as w; "tie", links that hold together all that are
+    linked in one tile; "link", each link of a node u that is no query."""
+
+    def meet(queries: pa.Table, nodes: pa.Table) -> pa.Table:
+        qn, yn = queries.column("node").to_numpy(), nodes.column("node").to_numpy()
+        size, asked = nodes.column("size").to_numpy(), nodes.column("asked").to_numpy()
+        names, place = np.unique(np.concatenate([qn, yn]), return_inverse=True)
+        total, forest, ties, links = np.zeros(len(qn)), Forest(len(names)), [], []
+        for i, j, _ in hits(queries, nodes, threshold):
+            total += np.bincount(i, size[j], len(qn))
+            ties.append(forest.joined(place[i], place[len(qn) + j]))
+            links.append((yn[j[~asked[j]]], qn[i[~asked[j]]]))
+        some = np.flatnonzero(total)
+        tie = [names[np.concatenate([x[k] for x in ties])] if ties else yn[:0] for k in (0, 1)]
+        link = [np.concatenate([x[k] for x in links]) if links else yn[:0] for k in (0, 1)]
+        kind = ["sum"] * len(some) + ["tie"] * len(tie[0]) + ["link"] * len(link[0])
+        w = np.concatenate([total[some], np.zeros(len(tie[0]) + len(link[0]))]).astype(np.int64)
+        return pa.table({"kind": pa.array(kind, pa.string()), "u": np.concatenate([qn[some], tie[0], link[0]]).astype(np.int64), "v": np.concatenate([qn[some], tie[1], link[1]]).astype(np.int64), "w": w})
+
+    return met(queries.select("node", "v"), nodes.select("node", "v", "size", "asked"), meet, "kind string, u long, v long, w long")
 
 
 def among(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -257,8 +322,10 @@ def bits_for(n: int) -> int:
 
 
 def descend(nodes: DataFrame, threshold: float, k: int, longest: int, rounds: int, target: float, audit: int, orders: int, seed: int, enough: int, few: int) -> DataFrame:
-    """Edges (u, v) at or above the threshold, both ways round."""
-    n = nodes.count()
+    """Links at or above the threshold of ``nodes`` (node, v, size): (u, v) for each link of a node u that isn't saturated,
+    and for the saturated ones what :func:`summed` makes of theirs."""
+    n, sized = nodes.count(), nodes
+    nodes = nodes.select("node", "v")
     # The start grows with the rows.
     grown = max(0, n.bit_length() - FEW.bit_length() + 1)
     graph = written(nearest(started(nodes, orders + 2 * grown, 3 + grown, seed, bits_for(n)), None, k), "graph")
@@ -268,39 +335,44 @@ def descend(nodes: DataFrame, threshold: float, k: int, longest: int, rounds: in
     truth = written(against_all(asked, nodes, threshold).where(F.col("sim") >= threshold).select("u", "v"), "truth")
     n_truth = truth.count()
     for turn in range(rounds):
-        graph = written(nearest(graph.unionByName(refined(graph, nodes, k)), sizes, k), "graph")
+        before, graph = graph, written(nearest(graph.unionByName(refined(graph, nodes, k)), sizes, k), "graph")
+        dropped(before)
         full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
         # Saturated: the list is full and all of it at or above the threshold.
         have = full if sizes is None else full.join(sizes, "u", "left")
         limit = F.lit(k) if sizes is None else F.coalesce("k", F.lit(k))
         sizes = written(have.select("u", F.when((F.col("n") >= limit) & (F.col("low") >= threshold), F.least(2 * limit, F.lit(longest))).otherwise(limit).alias("k")).where(F.col("k") > k), "sizes")
-        stuck = graph.join(sizes.where(F.col("k") >= longest), "u").groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= longest) & (F.col("low") >= threshold)).select("u")
+        stuck = full.join(sizes.where(F.col("k") >= longest), "u").where((F.col("n") >= longest) & (F.col("low") >= threshold)).select("u")
         if turn >= 2:
             sure = asked.select(F.col("node").alias("u")).join(stuck, "u", "left_anti")
             want = truth.join(sure, "u", "left_semi")
             got = want.join(graph, ["u", "v"], "left_semi").count()
             if got >= target * want.count() or not n_truth:
                 break
-    found = graph.where(F.col("sim") >= threshold)
-    # Nodes with nothing below the threshold in their lists may have more links: all their links, from all nodes.
-    may = graph.groupBy("u").agg(F.min("sim").alias("low")).where(F.col("low") >= threshold).select(F.col("u").alias("node"))
-    may = written(may.join(nodes, "node"), "saturated")
-    if not may.isEmpty():
-        found = found.unionByName(against_all(may, nodes, threshold).where(F.col("sim") >= threshold))
-    found = written(found.select("u", "v").distinct(), "found")
-    found = completed(found, nodes.join(may.select("node"), "node", "left_anti"), asked, truth, threshold, target, enough, seed, few)
-    both = found.select("u", "v").unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return written(both.distinct(), "near")
+    # Nodes with nothing below the threshold in their lists may have more links: all nodes are searched for theirs.
+    may = written(graph.groupBy("u").agg(F.min("sim").alias("low")).where(F.col("low") >= threshold).select(F.col("u").alias("node")).join(nodes, "node"), "saturated")
+    asks = may.select("node", F.lit(True).alias("asked"))
+    every = sized.join(asks, "node", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    sums = written(summed(may, every, threshold), "sums")
+    open_ = lambda e: e.join(may.select(F.col("node").alias("u")), "u", "left_anti")
+    known = open_(graph.where(F.col("sim") >= threshold).select("u", "v")).unionByName(sums.where("kind = 'link'").select("u", "v"))
+    known = written(known.distinct(), "found")
+    rest = nodes.join(may.select("node"), "node", "left_anti")
+    found = completed(known, rest, asked, truth, threshold, target, enough, seed, few)
+    links = written(open_(found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()).select("u", "v"), "near")
+    dropped(graph, known, truth)
+    return links, sums
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, k: int = 12, longest: int = 48, rounds: int = 8, target: float = 0.995, audit: int = 512, orders: int = 6, seed: int = 5, enough: int = 400, few: int = FEW) -> DataFrame:
     """One row for each row of ``df``: its id, n_links, component_id, kept."""
     rows = written(nodes_of(df, id_col, vector_col), "vectors")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("v").alias("v"), F.count("*").alias("size")), "nodes")
-    edges = descend(nodes.select("node", "v"), threshold, k, longest, rounds, target, audit, orders, seed, enough, few)
-    roots = components(edges, "u", "v")
+    edges, sums = descend(nodes, threshold, k, longest, rounds, target, audit, orders, seed, enough, few)
+    roots = components(edges.unionByName(sums.where("kind = 'tie'").select("u", "v")), "u", "v")
     size = nodes.select(F.col("node").alias("v"), "size")
-    links = edges.join(size, "v").groupBy(F.col("u").alias("node")).agg(F.sum("size").alias("others"))
+    each = edges.join(size, "v").select(F.col("u").alias("node"), "size").unionByName(sums.where("kind = 'sum'").select(F.col("u").alias("node"), F.col("w").alias("size")))
+    links = each.groupBy("node").agg(F.sum("size").alias("others"))
     info = nodes.select("node", "size").join(links, "node", "left").join(roots, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("c"))
     out = rows.select("id", "node").join(info, "node", "left")
     low = out.where("c is not null").groupBy("c").agg(F.min("id").alias("low"))

@@ -133,6 +133,34 @@ def test_saturated_vectors_keep_all_links(spark):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
 
 
+def test_saturated_groups_over_many_tiles(spark, monkeypatch):
+    """Sums, links of the rest and components of groups, chains and copies, where each block meets several tiles."""
+    monkeypatch.setattr(ann, "ASKED", 32)
+    rng = np.random.default_rng(3)
+    groups = [c + 0.22 * rng.normal(size=(90, 16)) for c in rng.normal(size=(3, 16))]
+    a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+    chain = np.array([np.cos(0.05 * i) * a + np.sin(0.05 * i) * b for i in range(60)])
+    x = np.concatenate([*groups, chain, rng.normal(size=(60, 16)), groups[0][:5], 3 * chain[:4]])
+    got = ann.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), k=4, longest=8).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    reach = np.linalg.matrix_power(link.astype(float), 64) > 0
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (link[i].sum() - 1, np.flatnonzero(reach[i])[0]) for i in range(len(x))}
+
+
+def test_forest():
+    rng = np.random.default_rng(5)
+    for n, m in ((5, 3), (200, 150), (200, 2000)):
+        i, j = rng.integers(0, n, (2, m))
+        forest = ann.Forest(n)
+        ties = [forest.joined(i[at : at + 40], j[at : at + 40]) for at in range(0, m, 40)]
+        known = list(range(n))
+        for u, v in zip(*(np.concatenate(x) for x in zip(*ties, strict=True)), strict=True):
+            assert known[u] != known[v]  # no tie is spare
+            known = [known[u] if k == known[v] else k for k in known]
+        assert all(known[u] == known[v] for u, v in zip(i, j, strict=True))
+
+
 @pytest.mark.parametrize("how", [{}, {"few": 0, "enough": 60}])
 def test_isolated_pairs_are_found_after_a_thin_start(spark, monkeypatch, how):
     monkeypatch.setattr(ann, "ASKED", 256)  # the second case asks part of the nodes, then adds orders
