@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, dropped, partitions, written
+from .common import components, dropped, written
 
 BLOCK = 2048
 FEW = 1 << 16  # up to so many nodes, comparing all is cheaper than more orders
@@ -106,7 +106,7 @@ def started(nodes: DataFrame, orders: int, width: int, seed: int, bits: int = 12
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, w])), pa.array(np.concatenate([w, u])), pa.array(np.concatenate([s, s]))], names=["u", "v", "sim"])
                 tail_n, tail_v = names[-width:], lists[-width:]
 
-        ordered = nodes.mapInArrow(keyed, "node long, v array<double>, key long, value double").repartitionByRange(partitions(nodes.sparkSession), "key", "value", "node").sortWithinPartitions("key", "value", "node")
+        ordered = nodes.mapInArrow(keyed, "node long, v array<double>, key long, value double").repartitionByRange("key", "value", "node").sortWithinPartitions("key", "value", "node")
         part = ordered.select("node", "v").mapInArrow(along, "u long, v long, sim double")
         out = part if out is None else out.unionByName(part)
     return out
