@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprint, license_scan, lm, mixing, ngram_join, pii, sp_sampling, toxicity
+from . import alignment, ann, centroids, chat, fingerprint, license_scan, lm, mixing, ngram_join, packing, pii, sp_sampling, toxicity
 from .common import table
 
 
@@ -123,5 +123,51 @@ SELECT doc_id, size, source_size, target,
 FROM summed
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_license_scan, op4_chat_formatting, op5_near_vectors, op6_fingerprints, op7_lm_scoring, op8_ngram_join, op9_sentencepiece, op10_mixing)}
-SQL = {"op4_chat_formatting": OP4_SQL, "op10_mixing": OP10_SQL}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op11_sql(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    """The same rounds, one after the other, each as a join of all vectors with the k centroids."""
+    apart = f"list_sum([(v[i] - c[i]) * (v[i] - c[i]) for i in range(1, {dim + 1})])"
+    sql = f"""
+WITH whole AS (
+  SELECT vec_id, embedding AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len([a for a in embedding if a IS NOT NULL AND isfinite(a)]) = {dim}
+), vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, [floor({dim} * a::DOUBLE)::BIGINT for a in x] AS v,
+    sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h FROM whole
+), seeds AS (
+  SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS j, v FROM vectors
+), c0 AS (SELECT j, v AS c FROM seeds WHERE j < {k})"""
+    for n in range(rounds + 1):
+        sql += f""", pairs{n} AS (
+  SELECT r, vec_id, v, j, {apart}::BIGINT AS d FROM vectors, c{n}
+), a{n} AS (
+  SELECT r, vec_id, v, j, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, j) AS place FROM pairs{n}) WHERE place = 1
+)"""
+        if n < rounds:
+            sql += f""", parts{n} AS (
+  SELECT j, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM a{n}, range(1, {dim + 1}) AS places(i) GROUP BY j, i
+), means{n} AS (
+  SELECT j, list(m ORDER BY i) AS m FROM parts{n} GROUP BY j
+), c{n + 1} AS (
+  SELECT c{n}.j, coalesce(means{n}.m, c{n}.c) AS c FROM c{n} LEFT JOIN means{n} ON c{n}.j = means{n}.j
+)"""
+    return sql + f"""
+SELECT vec_id, a{rounds}.j AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{rounds}.j))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.j = c{rounds}.j
+"""
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), keep=["doc_id"], with_ids=False)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_license_scan, op4_chat_formatting, op5_near_vectors, op6_fingerprints, op7_lm_scoring, op8_ngram_join, op9_sentencepiece, op10_mixing, op11_centroids, op12_packing, op13_alignment)}
+SQL = {"op4_chat_formatting": OP4_SQL, "op10_mixing": OP10_SQL, "op11_centroids": op11_sql()}
