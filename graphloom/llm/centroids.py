@@ -42,7 +42,7 @@ def whole_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def segment_norms(x: np.ndarray, segments: int) -> np.ndarray:
     """For each row and segment: its component along the all-ones direction, then the length of the rest."""
-    parts = x.astype(float).reshape(len(x), segments, -1)
+    parts = x.astype(float).reshape(len(x), segments, x.shape[1] // segments)
     along = parts.sum(2) / parts.shape[2] ** 0.5
     rest = np.sqrt(np.maximum((parts**2).sum(2) - along**2, 0))
     return np.concatenate([along, rest], 1)
