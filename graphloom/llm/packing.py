@@ -15,10 +15,13 @@ executor changes nothing that was read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 from pathlib import Path
 
 import numpy as np
@@ -28,41 +31,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .alignment import byte_letters
 from .common import _arrow, fresh, slices, small_batches, written
-from .wordcache import Runs, Words
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 FAN_IN = 64
 
 
+#: ASCII without U+0000 and U+0001, and Latin-1's letters: texts of these are their own normal form, and Python and the
+#: tokenizer lower-case them alike. A bar may belong to a special token, so it isn't here.
+ODD = re.compile(r"[^\x02-{}~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+#: The vocabulary's published pattern of units other than runs of letters.
+UNIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9ß-öø-ÿ \t\n\r\v\f\x00\x01]+")
+END, NEXT, WORD_END = "\0", "\x01", "</w>"
+
+
 class Encoder:
-    """Ids of texts by a tokenizer whose tokens never reach over white space: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer whose tokens never reach over white space. Plain Latin text goes to an equal encoder that
+    merges bytes by rank, where the vocabulary allows one: the end of a unit is a byte of its own, which merges first.
+    All other words go to the tokenizer itself."""
 
     def __init__(self, tokenizer: bytes) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer)
-        self.words = Words(self.learn, self.forget)
-        self.forget()
-
-    def forget(self) -> None:
-        self.runs = Runs()
-
-    def learn(self, words: list[bytes]) -> None:
-        for lo, hi in slices(words, 300_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words[lo:hi]], add_special_tokens=False)]
-            self.runs.add(np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids]))
+        self.fast = self.ranked(json.loads(tokenizer))
+
+    def ranked(self, parsed: dict):
+        """The equal encoder, or None for vocabularies whose ids aren't 256 bytes, 256 last bytes and merges in order."""
+        import tiktoken
+
+        letters, special = byte_letters(), {t["content"] for t in parsed["added_tokens"]}
+        vocab = {k: i for k, i in parsed["model"]["vocab"].items() if k not in special}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in parsed["model"].get("merges", [])]
+        ordered = all(vocab.get("".join(m)) == 512 + i for i, m in enumerate(merges))
+        bases = {vocab.get(c) for c in letters} == set(range(256)) and {vocab.get(c + WORD_END) for c in letters} == set(range(256, 512))
+        if not (ordered and bases and parsed["model"].get("end_of_word_suffix") == WORD_END):
+            return None
+        ranks = {}
+        for k, i in vocab.items():
+            last = k.endswith(WORD_END)
+            ranks[bytes(letters[c] for c in (k[: -len(WORD_END)] if last else k)) + END.encode() * last] = i
+        self.next_id = ranks[NEXT.encode()]
+        return tiktoken.Encoding("word-ends", pat_str=r"\x01|[^\x00\x01]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        joined = UNIT.sub(r"\0\g<0>\0", (END + NEXT).join(texts).lower())  # units don't reach over these marks
+        for blank in " \t\n\r\v\f":
+            joined = joined.replace(blank, END)
+        ids = np.array(self.fast.encode_ordinary(joined + END), "<u4")
+        at = np.flatnonzero(ids == self.next_id)
+        return [ids[lo:hi] for lo, hi in zip([0, *(at + 1)], [*at, len(ids)], strict=True)]
 
     def __call__(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        words = [t.encode().split() for t in texts]  # bytes: ASCII white space alone parts them
-        numbers = self.words.numbers([w for ws in words for w in ws])
-        flat = self.runs.take(numbers).astype("<u4")
-        ends = np.concatenate([[0], np.cumsum(self.runs.sizes(numbers))])
-        at, out = 0, []
-        for ws in words:
-            out.append(np.append(flat[ends[at] : ends[at + len(ws)]], np.array([end_id], "<u4")))
-            at += len(ws)
-        return out
+        parts: list[list] = [[], []]  # plain texts and odd words, each with the place of its text
+        for i, t in enumerate(texts):
+            if self.fast and not ODD.search(t):
+                parts[0].append((i, 0, t))
+            else:  # ASCII white space alone parts words
+                runs = groupby((w.decode() for w in t.encode().split()), lambda w: bool(not self.fast or ODD.search(w)))
+                for j, (odd, words) in enumerate(runs):
+                    parts[odd].append((i, j, " ".join(words)))
+        out: list[list] = [[] for _ in texts]
+        ids = self.plain([t for *_, t in parts[0]]) if parts[0] else []
+        ids += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch([t for *_, t in parts[1]], add_special_tokens=False)]
+        for (i, j, _), x in sorted(zip(parts[0] + parts[1], ids, strict=True), key=lambda p: p[0][:2]):
+            out[i].append(x)
+        return [np.concatenate([*x, np.array([end_id], "<u4")]) for x in out]
 
 
 @lru_cache(2)

@@ -47,14 +47,16 @@ class Words:
             self.known, self.chars = {}, 0
             self.forget()
         known, new = self.known, []
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            at = known.get(w)
-            if at is None:
-                at = known[w] = len(known)
-                new.append(w)
-                self.chars += len(w)
-            out[i] = at
-        if new:
+        out = list(map(known.get, words))
+        if None in out:
+            for i, at in enumerate(out):
+                if at is None:
+                    w = words[i]
+                    at = known.get(w)
+                    if at is None:
+                        at = known[w] = len(known)
+                        new.append(w)
+                        self.chars += len(w)
+                    out[i] = at
             self.learn(new)
-        return out
+        return np.array(out, np.int64)

@@ -139,12 +139,16 @@ def test_packing_of_nothing(docs):
     assert [tuple(r) for r in one] == [(0, 1, zlib.crc32(np.array([1], "<u4").tobytes()), 1, one[0].sequence_id, 0)]
 
 
-def test_words_are_forgotten(docs):
+def test_encoder(docs):
     e = packing.Encoder(open(packing.TOKENIZER, "rb").read())
-    e.words.most = 3
-    texts = [r.text or "" for r in docs.collect()]
+    rng = np.random.default_rng(5)
+    letters = [*"abcdeostrvmlABZ'\"!.,;:<|>{}~-_0123456789 \t\n\r\x0b\x0c", *"\x00\x01\x02\x1c\x1f\x7f\x85\xa0", *"ÀÉÖ×ØÜßàéö÷øüÿ", *"Āſẞ\u0301Σσ\u2028日'sİ"]
+    texts = [r.text or "" for r in docs.collect()] + ["".join(rng.choice(letters[: int(rng.choice([30, 45, 53, 66, len(letters)]))], int(n))) for n in rng.integers(1, 60, 3000)]
+    texts += ["it's 'sfoo !'s 'LL x'dy ''s 's's we're'", "<|startoftext|>a<|endoftext|>", "Straße ÀÉ ÿ 1234 a1b2"]
     want = [[*x.ids, 9] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for t in texts for x in e([t], 9)] == want
+    assert e.fast and [x.tolist() for x in e(texts, 9)] == want
+    e.fast = None
+    assert [x.tolist() for x in e(texts, 9)] == want
 
 
 # 13
