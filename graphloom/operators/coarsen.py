@@ -7,15 +7,15 @@ with features, undirected weighted edges) is rebuilt and checkpointed; the drive
 
 from __future__ import annotations
 
-import re
-import tempfile
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance2
+from .smallest import merged_smallest
+from .tables import settled
 from .topology import adjacency, band_pairs, degrees, feature_variance, hub_caps, mediator_lists, merge_cost, projected_order, stride_sampled, type_mean_degree, with_features
 
 
@@ -27,18 +27,6 @@ class Kernel:
     edges: DataFrame
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir. Where none is set, a session on one machine gets a temporary folder; a
-    cluster must name one that all machines share."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def candidate_pairs(k: Kernel, window: int = 20, cap: int = 128, hubs: bool | int | dict[int, int] = True) -> tuple[DataFrame, DataFrame]:
     """The thinned, ranked mediator lists, and the pairs in their bands. ``hubs``: whether mediators above a degree are left
     out; one cap for all types, or caps by type id, instead of the automatic ones."""
@@ -143,8 +131,11 @@ def reassign_candidates(k: Kernel, cmap: DataFrame, most: int = 32) -> DataFrame
     med = small.select(F.col("gid").alias("med"), F.col("type_id").alias("t_med"))
     kind = k.nodes.select(F.col("gid").alias("o"), F.col("type_id").alias("t_o"))
     hop = adj.select(F.col("u").alias("gid"), F.col("v").alias("med")).join(single, "gid").join(med, "med").where("type_id <> t_med")
-    seen = hop.join(adj.select(F.col("u").alias("med"), F.col("v").alias("o")), "med").join(kind, "o").where("t_o = type_id and o <> gid").join(cmap.select(F.col("gid").alias("o"), "root"), "o").join(groups, "root").select("gid", "type_id", "root").distinct()
-    return seen.withColumn("r", F.row_number().over(Window.partitionBy("gid").orderBy("root"))).where(F.col("r") <= most).drop("r")
+    # A mediator's smallest groups of each type, then each node's smallest over its mediators: no two-hop path is listed.
+    side = adj.select(F.col("u").alias("med"), F.col("v").alias("o")).join(kind, "o").join(cmap.select(F.col("gid").alias("o"), "root"), "o").join(groups, "root")
+    few = merged_smallest(side.select("med", F.col("t_o").alias("type_id"), F.array("root").alias("roots")), ["med", "type_id"], "roots", most)
+    near = hop.select("gid", "type_id", "med").join(few, ["med", "type_id"])
+    return merged_smallest(near.select("gid", "type_id", "roots"), ["gid", "type_id"], "roots", most).select("gid", F.explode("roots").alias("root"), "type_id")
 
 
 def reassigned(k: Kernel, cmap: DataFrame, scale: float = 1.0) -> DataFrame:

@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import added, normalized, padded, scaled, sign_projection
+from .sums import vectors_by, width
+from .tables import settled
 
 
-def vector_mean(df: DataFrame, keys: list[str], col: str = "x", weight: str | None = None, total: bool = False) -> DataFrame:
+def vector_mean(df: DataFrame, keys: list[str], col: str = "x", weight: str | None = None, total: bool = False, dim: int | None = None) -> DataFrame:
     """(keys, col): element-wise mean (weighted: sum w x / max(1, sum w); or the sum) of array columns."""
-    e = df.select(*keys, F.posexplode(col).alias("i", "a"), *([F.col(weight).alias("w")] if weight else []))
-    if total:
-        value = F.sum("a")
-    else:
-        value = F.sum(F.col("a") * F.col("w")) / F.greatest(F.lit(1.0), F.sum("w")) if weight else F.avg("a")
-    return e.groupBy(*keys, "i").agg(value.alias("a")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "a")))["a"].alias(col))
+    return vectors_by(df, keys, col, "sum" if total else "mean", weight, dim=dim)
 
 
 def start(nodes: DataFrame, dim: int) -> DataFrame:
@@ -24,20 +21,20 @@ def start(nodes: DataFrame, dim: int) -> DataFrame:
     return nodes.select("gid", F.when(x.isNotNull(), normalized(F.when(F.size(x) <= dim, padded(x, dim)).otherwise(sign_projection(x, dim)))).alias("h"))
 
 
-def propagated(h: DataFrame, g: DataFrame) -> DataFrame:
+def propagated(h: DataFrame, g: DataFrame, dim: int | None = None) -> DataFrame:
     """(gid, p): mean over relations of the in-neighbour means; parallel edges count. Nodes without h send nothing."""
-    per = vector_mean(g.join(h.where("h is not null").withColumnRenamed("gid", "s"), "s").select("d", "src_type", "rel", "dst_type", F.col("h").alias("x")), ["d", "src_type", "rel", "dst_type"])
-    return vector_mean(per, ["d"]).select(F.col("d").alias("gid"), F.col("x").alias("p"))
+    dim = width(h, "h") if dim is None else dim
+    sent = g.join(h.where("h is not null").withColumnRenamed("gid", "s"), "s").select("d", "src_type", "rel", "dst_type", F.col("h").alias("x"))
+    per = vector_mean(sent, ["d", "src_type", "rel", "dst_type"], dim=dim)
+    return vector_mean(per, ["d"], dim=dim).select(F.col("d").alias("gid"), F.col("x").alias("p"))
 
 
 def fast_embed(nodes: DataFrame, g: DataFrame, hops: int = 2, dim: int = 4) -> DataFrame:
     """Per hop: h <- normalize(h + propagated), or normalize(propagated) for nodes that have no h yet."""
-    from .coarsen import settled
-
     h = start(nodes, dim)
     for turn in range(hops):
         h = settled(h) if turn else h  # read twice in a hop
-        h = h.join(propagated(h, g), "gid", "left").select("gid", F.when(F.col("p").isNull(), F.col("h")).when(F.col("h").isNull(), normalized(F.col("p"))).otherwise(normalized(added(F.col("h"), F.col("p")))).alias("h"))
+        h = h.join(propagated(h, g, dim), "gid", "left").select("gid", F.when(F.col("p").isNull(), F.col("h")).when(F.col("h").isNull(), normalized(F.col("p"))).otherwise(normalized(added(F.col("h"), F.col("p")))).alias("h"))
     return h
 
 
@@ -57,24 +54,27 @@ def relation_embed(nodes: DataFrame, g: DataFrame, hops: int = 2, dim: int = 4)
     sig = nodes.select("gid", "x").join(sig, "gid", "left")
     full = F.concat(F.coalesce("x", F.array().cast("array<double>")), F.array(*[F.log1p(F.coalesce(F.try_element_at("m", F.lit(f"{k}#{side}")), F.lit(0)).cast("double")) for k, side in slots]))
     h0 = sig.select("gid", normalized(F.when(F.size(full) <= dim, padded(full, dim)).otherwise(sign_projection(full, dim))).alias("h0"))
+    h0 = settled(h0)  # read again in every hop
     h = h0.withColumnRenamed("h0", "h")
     key = F.concat_ws("/", "src_type", "rel", "dst_type")
     ways = g.select(F.col("s").alias("a"), F.col("d").alias("b"), F.concat(key, F.lit("#0")).alias("c")).unionByName(g.select(F.col("d").alias("a"), F.col("s").alias("b"), F.concat(key, F.lit("#1")).alias("c")))
     number = F.create_map(*[F.lit(z) for i, (k, side) in enumerate(slots) for z in (f"{k}#{side}", i)]) if slots else F.create_map()
     for _ in range(hops):
-        per = vector_mean(ways.join(h.withColumnRenamed("gid", "a"), "a").select("b", "c", F.col("h").alias("x")), ["b", "c"])
+        per = vector_mean(ways.join(h.withColumnRenamed("gid", "a"), "a").select("b", "c", F.col("h").alias("x")), ["b", "c"], dim=dim)
         signed = per.withColumn("n", number[F.col("c")]).withColumn("x", F.transform("x", lambda v, i: v * (1 - 2 * (((i * 7919 + F.col("n") * 104729) % 101) % 2))))
-        p = vector_mean(signed, ["b"], total=True).select(F.col("b").alias("gid"), scaled(F.col("x"), F.lit(1 / max(1, len(slots)) ** 0.5)).alias("p"))
-        h = h0.join(p, "gid", "left").select("gid", normalized(F.when(F.col("p").isNull(), F.col("h0")).otherwise(added(F.col("h0"), F.col("p")))).alias("h"))
+        p = vector_mean(signed, ["b"], total=True, dim=dim).select(F.col("b").alias("gid"), scaled(F.col("x"), F.lit(1 / max(1, len(slots)) ** 0.5)).alias("p"))
+        h = settled(h0.join(p, "gid", "left").select("gid", normalized(F.when(F.col("p").isNull(), F.col("h0")).otherwise(added(F.col("h0"), F.col("p")))).alias("h")))
     return h
 
 
 def appnp(h0: DataFrame, g: DataFrame, steps: int = 10, alpha: float = 0.1) -> DataFrame:
     """h <- (1 - alpha) * propagated(h) + alpha * h0."""
-    h = h0.select("gid", F.col("h"))
+    dim, h0 = width(h0, "h"), settled(h0.select("gid", "h"))
+    h = h0
     for _ in range(steps):
-        p = propagated(h, g)
+        p = propagated(h, g, dim)
         h = h0.select("gid", F.col("h").alias("h0")).join(p, "gid", "left").select("gid", F.when(F.col("p").isNull(), F.col("h0")).otherwise(F.zip_with("p", "h0", lambda a, b: (1 - alpha) * a + alpha * b)).alias("h"))
+        h = settled(h)
     return h
 
 
@@ -82,7 +82,7 @@ def hop_concat(h: DataFrame, g: DataFrame, hops: int = 2) -> DataFrame:
     """h joined with its propagations of 1 to ``hops`` steps (zeros where nothing arrives)."""
     out, cur = h.withColumn("all", F.coalesce("h", F.array().cast("array<double>"))), h
     for _ in range(hops):
-        cur = h.select("gid").join(propagated(cur, g), "gid", "left").select("gid", F.col("p").alias("h"))
+        cur = settled(h.select("gid").join(propagated(cur, g), "gid", "left").select("gid", F.col("p").alias("h")))
         out = out.drop("h").join(cur, "gid").withColumn("all", F.concat("all", F.coalesce("h", F.array().cast("array<double>"))))
     return out.select("gid", F.col("all").alias("h"))
 

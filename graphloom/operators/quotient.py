@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance2
+from ..functions.vectors import distance2, dot
 from ..schema import TypedGraph
+from .ranks import ranked
+from .sums import vectors_by, width
 
 MODES = ("binary", "count", "log_count", "density")
 
@@ -24,11 +26,10 @@ class Compressed:
 
 
 def node_map(nodes: DataFrame, cmap: DataFrame) -> DataFrame:
-    """(type_id, node_id, gid, root, super_id): roots of a type numbered in order of their ids.
-
-    Only distinct roots are ranked, by type; a type's ranks come from one sorted pass over its roots."""
+    """(type_id, node_id, gid, root, super_id): roots of a type numbered in order of their ids. Only distinct roots are
+    ranked, over many partitions."""
     m = nodes.select("type_id", "node_id", "gid").join(cmap, "gid")
-    roots = m.select("type_id", "root").distinct().withColumn("super_id", (F.row_number().over(Window.partitionBy("type_id").orderBy("root")) - 1).cast("long"))
+    roots = ranked(m.select("type_id", "root").distinct(), ["type_id"], ["root"], "super_id")
     return m.join(roots, ["type_id", "root"])
 
 
@@ -43,22 +44,24 @@ def freeze(cmap: DataFrame, nodes: DataFrame, types: DataFrame, frozen: list[str
 
 def centroids(nodes: DataFrame, m: DataFrame) -> DataFrame:
     """(type_id, super_id, c): mean vector of the members."""
-    e = nodes.where("x is not null").select("gid", F.posexplode("x").alias("i", "a")).join(m.select("gid", "type_id", "super_id"), "gid")
-    return e.groupBy("type_id", "super_id", "i").agg(F.avg("a").alias("a")).groupBy("type_id", "super_id").agg(F.sort_array(F.collect_list(F.struct("i", "a")))["a"].alias("c"))
+    n = nodes.where("x is not null").select("gid", F.col("x").alias("c")).join(m.select("gid", "type_id", "super_id"), "gid")
+    return vectors_by(n, ["type_id", "super_id"], "c", dim=width(nodes))
 
 
 def super_features(nodes: DataFrame, m: DataFrame, temp: float = 1.0) -> DataFrame:
     """(type_id, super_id, x): means weighted by exp(-d / (mean d * temp)), d being the squared distance of a member's
-    embedding h (x if there is none) to the group's centre; weights come from h, the averaged values from x."""
+    embedding h (x if there is none) to the group's centre; weights come from h, the averaged values from x.
+
+    The mean distance comes from the same pass as the centre: the mean of |h|^2, less |c|^2."""
+    keys = ["type_id", "super_id"]
     h = F.coalesce("h", "x") if "h" in nodes.columns else F.col("x")
-    n = nodes.select("gid", "x", h.alias("h")).where("x is not null").join(m.select("gid", "type_id", "super_id"), "gid")
-    centre = centroids(n.select("gid", F.col("h").alias("x")), m)
-    d = n.join(centre, ["type_id", "super_id"]).withColumn("d", distance2(F.col("h"), F.col("c")))
-    mean = d.groupBy("type_id", "super_id").agg(F.avg("d").alias("m"))
-    w = d.join(mean, ["type_id", "super_id"]).withColumn("w", F.exp(-F.col("d") / F.greatest(F.col("m") * temp, F.lit(1e-8))))
-    e = w.select("type_id", "super_id", "w", F.posexplode("x").alias("i", "a"))
-    per = e.groupBy("type_id", "super_id", "i").agg((F.sum(F.col("w") * F.col("a")) / F.greatest(F.sum("w"), F.lit(1e-8))).alias("a"))
-    return per.groupBy("type_id", "super_id").agg(F.sort_array(F.collect_list(F.struct("i", "a")))["a"].alias("x"))
+    n = nodes.select("gid", "x", h.alias("h")).where("x is not null")
+    dim_h, dim_x = n.agg(F.max(F.size("h")), F.max(F.size("x"))).first()
+    n = n.join(m.select("gid", *keys), "gid")
+    centre = vectors_by(n.select(*keys, F.col("h").alias("c")), keys, "c", also=[F.avg(dot(F.col("c"), F.col("c"))).alias("norm")], dim=dim_h or 0)
+    centre = centre.select(*keys, "c", F.greatest(F.lit(0.0), F.col("norm") - dot(F.col("c"), F.col("c"))).alias("m"))
+    w = n.join(centre, keys).withColumn("w", F.exp(-distance2(F.col("h"), F.col("c")) / F.greatest(F.col("m") * temp, F.lit(1e-8))))
+    return vectors_by(w.select(*keys, "x", "w"), keys, "x", weight="w", dim=dim_x or 0, least=1e-8)
 
 
 def label_counts(nodes: DataFrame, m: DataFrame, who: str = "is_train") -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance2, dot
+from .ranks import ranked
+from .smallest import merged_smallest
+from .sums import vectors_by, width
 
 
 def dedup(global_edges: DataFrame) -> DataFrame:
@@ -54,8 +57,9 @@ def type_mean_degree(deg: DataFrame) -> DataFrame:
 
 def hub_anchors(deg: DataFrame, share: float) -> DataFrame:
     """Nodes among the ceil(n * share) of largest degree of their type, for types with a degree above 1."""
-    by = Window.partitionBy("type_id")
-    return deg.withColumns({"r": F.row_number().over(by.orderBy(F.desc("degree"), "gid")), "n": F.count("*").over(by), "top": F.max("degree").over(by)}).where((F.col("top") > 1) & (F.col("r") <= F.ceil(F.col("n") * share))).select("gid", "type_id", "degree")
+    top = deg.groupBy("type_id").agg(F.max("degree").alias("top")).where("top > 1")
+    r = ranked(deg.join(F.broadcast(top.select("type_id")), "type_id", "left_semi"), ["type_id"], [F.desc("degree"), "gid"], "r", "n")
+    return r.where(F.col("r") < F.ceil(F.col("n") * share)).select("gid", "type_id", "degree")
 
 
 def mediator_lists(adj: DataFrame, deg: DataFrame, caps: DataFrame | None) -> DataFrame:
@@ -71,7 +75,7 @@ def mediator_lists(adj: DataFrame, deg: DataFrame, caps: DataFrame | None) -> Da
 def leaders(lists: DataFrame) -> DataFrame:
     """(t_src, t_med, med, k, leader_rank): mediators by falling neighbour count, then id."""
     one = lists.select("t_src", "t_med", "med", "k").distinct()
-    return one.withColumn("leader_rank", F.row_number().over(Window.partitionBy("t_src", "t_med").orderBy(F.desc("k"), "med")))
+    return ranked(one, ["t_src", "t_med"], [F.desc("k"), "med"], "r").withColumn("leader_rank", F.col("r").cast("int") + 1).drop("r")
 
 
 def projection(x):
@@ -117,8 +121,8 @@ def merge_cost(pairs: DataFrame) -> DataFrame:
 def feature_variance(features: DataFrame) -> DataFrame:
     """(type_id, var): population variances summed over dimensions; 1 for a type with fewer than 2 nodes, without features
     or without spread. One pass: sum of squares and sums by dimension."""
-    e = features.where("x is not null").select("type_id", F.posexplode("x").alias("d", "value"))
-    per = e.groupBy("type_id", "d").agg(F.var_pop("value").alias("v"), F.count("*").alias("n")).groupBy("type_id").agg(F.sum("v").alias("v"), F.max("n").alias("n"))
+    per = vectors_by(features, ["type_id"], "x", "var", also=[F.count("*").alias("n")])
+    per = per.select("type_id", "n", F.aggregate("x", F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0))).alias("v"))
     types = features.select("type_id").distinct()
     return types.join(per, "type_id", "left").select("type_id", F.when((F.col("n") >= 2) & (F.col("v") > 0) & (F.col("v") < float("inf")), F.col("v")).otherwise(1.0).alias("var"))
 
@@ -137,14 +141,18 @@ def window_density(pairs: DataFrame, limit) -> DataFrame:
 
 def two_hop_candidates(adj: DataFrame, deg: DataFrame, max_hub: int, k: int) -> DataFrame:
     """(u, v, rank): the k same-type nodes of largest degree within two hops (or one), through mediators of degree at
-    most ``max_hub`` (which bounds the join's fan-out)."""
-    kind = deg.select(F.col("gid").alias("u"), F.col("type_id").alias("t"))
+    most ``max_hub``. Each mediator passes on its k + 1 best of a type (one may be the asking node itself), so no mediator's
+    neighbours are paired."""
+    kind = deg.select(F.col("gid").alias("u"), F.col("type_id").alias("t"), (-F.col("degree")).cast("long").alias("o"))
     small = deg.where(F.col("degree") <= max_hub).select(F.col("gid").alias("med"))
+    entry = F.array(F.struct(F.col("o"), F.col("u").cast("long").alias("v"))).alias("best")
     half = adj.select(F.col("u").alias("med"), F.col("v").alias("u")).join(small, "med").join(kind, "u")
-    two = half.join(half.withColumnRenamed("u", "v"), ["med", "t"]).where("u <> v").select("u", "v")
-    one = adj.select("u", "v").join(kind, "u").join(kind.select(F.col("u").alias("v"), F.col("t").alias("t2")), "v").where("t = t2").select("u", "v")
-    pairs = two.unionByName(one).distinct().join(deg.select(F.col("gid").alias("v"), "degree"), "v")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("degree"), "v"))).where(F.col("rank") <= k)
+    best = merged_smallest(half.select("med", "t", entry), ["med", "t"], "best", k + 1)
+    two = half.select("u", "med", "t").join(best, ["med", "t"]).select("u", "best")
+    one = adj.select(F.col("u").alias("w"), F.col("v").alias("u")).join(kind, "u").join(deg.select(F.col("gid").alias("w"), F.col("type_id").alias("t2")), "w").where("t = t2").select(F.col("w").alias("u"), entry)
+    near = merged_smallest(two.unionByName(one), ["u"], "best", k + 1)
+    others = F.slice(F.filter("best", lambda b: b["v"] != F.col("u")), 1, k)
+    return near.select("u", F.posexplode(others).alias("at", "b")).select("u", F.col("b.v").alias("v"), (-F.col("b.o")).alias("degree"), (F.col("at") + 1).alias("rank"))
 
 
 def dirichlet_delta(pairs: DataFrame, lists: DataFrame, features: DataFrame) -> DataFrame:
@@ -153,9 +161,8 @@ def dirichlet_delta(pairs: DataFrame, lists: DataFrame, features: DataFrame) ->
     third join meets the pairs: sum w_k |x - x_k|^2 = W |x|^2 - 2 x . S + Q."""
     f = features.select(F.col("gid").alias("u"), "x")
     e = lists.join(f, "u")
-    q = e.groupBy("med", "t_src").agg(F.sum("w").alias("W"), F.sum(F.col("w") * dot(F.col("x"), F.col("x"))).alias("Q"))
-    s = e.select("med", "t_src", F.posexplode("x").alias("i", "a"), "w").groupBy("med", "t_src", "i").agg(F.sum(F.col("a") * F.col("w")).alias("s")).groupBy("med", "t_src").agg(F.sort_array(F.collect_list(F.struct("i", "s")))["s"].alias("S"))
-    p = with_features(pairs, features).join(q, ["med", "t_src"]).join(s, ["med", "t_src"])
+    sums = vectors_by(e, ["med", "t_src"], "x", "sum", weight="w", also=[F.sum("w").alias("W"), F.sum(F.col("w") * dot(F.col("x"), F.col("x"))).alias("Q")], dim=width(features))
+    p = with_features(pairs, features).join(sums.withColumnRenamed("x", "S"), ["med", "t_src"])
 
     def spread(x, w):  # energy of a point of weight w with all candidates, itself included at distance 0
         return w * (F.col("W") * dot(x, x) - 2 * dot(x, F.col("S")) + F.col("Q"))

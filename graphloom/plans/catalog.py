@@ -196,10 +196,8 @@ o AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1
 SELECT kept.id::BIGINT AS src, o.id::BIGINT AS dst FROM o JOIN kept ON o_custkey = c_custkey""")
 def src_induced_subgraph(spark, d):
     c = graphs.read(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
-    kept = c.select("c_custkey", (F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("long").alias("src"))
-    o = graphs.read(spark, d, "orders").join(kept.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
-    o = o.select("o_custkey", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long").alias("dst"))
-    return o.join(kept, o["o_custkey"] == kept["c_custkey"]).select("src", "dst")
+    o = graphs.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return graphs.induced(o, c, "c_custkey", "o_orderkey", "o_orderkey")
 
 
 @query("""WITH m AS (SELECT * FROM (VALUES ('BUILDING', 0), ('MACHINERY', 0), ('HOUSEHOLD', 1)) t(seg, y)), c AS (SELECT c_custkey, y FROM customer JOIN m ON c_mktsegment = seg)

@@ -6,11 +6,13 @@ import contextlib
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embed, metrics, probe
+from ..operators.ranks import ranked, unused
 from ..schema import TypedGraph, global_edges
+from ..sources.graphs import flagged
 
 
 def seeds(base: int, runs: int, warmup: int) -> list[int]:
@@ -180,7 +182,6 @@ def cached_union(old: DataFrame, new: DataFrame, config: list[str]) -> DataFrame
 def resplit(nodes: DataFrame, train: float, val: float, seed: int = 0) -> DataFrame:
     """Supernode flags anew (node_id, y): int(train n), int(val n), the rest, in a stateless random order."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("node_id").cast("string")))
-    n = F.count("*").over(Window.partitionBy())
-    r = F.row_number().over(Window.orderBy(key, "node_id"))
-    a, b = F.floor(n * train), F.floor(n * val)
-    return nodes.withColumns({"is_train": r <= a, "is_val": (r > a) & (r <= a + b), "is_test": r > a + b})
+    r, n = unused(nodes.columns, "r", "n")
+    a, b = F.floor(F.col(n) * train), F.floor(F.col(n) * val)
+    return flagged(ranked(nodes, [], [key, "node_id"], r, n), F.lit(True), F.col(r), a, b).drop(r, n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked, unused
 from ..schema import TypedGraph, typed_catalogue
 
 
@@ -40,32 +41,46 @@ def flipped(edges: DataFrame, rel: str) -> DataFrame:
 
 def split_by_rank(df: DataFrame, key, train: float = 0.6, val: float = 0.2) -> DataFrame:
     """Seeded random split of the labelled rows (y >= 0) in the order of ``key``: at least one training row, then at
-    least one validation row if two are left. Ranks are global; only ids and keys are sorted."""
-    labelled = F.col("y") >= 0
-    w = Window.partitionBy(labelled).orderBy(key, "node_id")
-    n = F.count("*").over(Window.partitionBy(labelled))
-    n_tr = F.greatest(F.lit(1), F.floor(n * train))
-    n_va = F.greatest(F.lit(1), F.floor(n * val))
-    r = F.row_number().over(w)
-    return df.withColumns({"is_train": labelled & (r <= n_tr), "is_val": labelled & (r > n_tr) & (r <= n_tr + n_va), "is_test": labelled & (r > n_tr + n_va)})
+    least one validation row if two are left. Ranks are global, and taken over many partitions."""
+    labelled, r, n = unused(df.columns, "labelled", "r", "n")
+    rows = ranked(df.withColumn(labelled, F.coalesce(F.col("y") >= 0, F.lit(False))), [labelled], [key, "node_id"], r, n)
+    n_tr, n_va = (F.greatest(F.lit(1), F.floor(F.col(n) * share)) for share in (train, val))
+    return flagged(rows, F.col(labelled), F.col(r), n_tr, n_va).drop(labelled, r, n)
 
 
 def split_stratified(df: DataFrame, key, most_train: int = 200, most_val: int = 100) -> DataFrame:
     """Per class: min(200, max(1, n div 3)) training rows, then min(100, max(1, rest div 4)) validation rows."""
-    w = Window.partitionBy("y").orderBy(key, "node_id")
-    n = F.count("*").over(Window.partitionBy("y"))
-    n_tr = F.least(F.lit(most_train), F.greatest(F.lit(1), F.floor(n / 3)))
-    n_va = F.least(F.lit(most_val), F.greatest(F.lit(1), F.floor((n - n_tr) / 4)))
-    r = F.row_number().over(w)
-    return df.withColumns({"is_train": r <= n_tr, "is_val": (r > n_tr) & (r <= n_tr + n_va), "is_test": r > n_tr + n_va})
+    r, n = unused(df.columns, "r", "n")
+    rows = ranked(df, ["y"], [key, "node_id"], r, n)
+    n_tr = F.least(F.lit(most_train), F.greatest(F.lit(1), F.floor(F.col(n) / 3)))
+    n_va = F.least(F.lit(most_val), F.greatest(F.lit(1), F.floor((F.col(n) - n_tr) / 4)))
+    return flagged(rows, F.lit(True), F.col(r), n_tr, n_va).drop(r, n)
+
+
+def flagged(rows: DataFrame, ok, r, n_tr, n_va) -> DataFrame:
+    """Flags by rank from 0: the first n_tr rows train, the next n_va validate, the others test."""
+    return rows.withColumns({"is_train": ok & (r < n_tr), "is_val": ok & (r >= n_tr) & (r < n_tr + n_va), "is_test": ok & (r >= n_tr + n_va)})
 
 
 def carve_validation(df: DataFrame, key, share: float = 0.2) -> DataFrame:
     """Moves a share of the training rows, at least one, to validation."""
-    w = Window.partitionBy("is_train").orderBy(key, "node_id")
-    n = F.count("*").over(Window.partitionBy("is_train"))
-    moved = F.col("is_train") & (F.row_number().over(w) <= F.greatest(F.lit(1), F.floor(n * share)))
-    return df.withColumn("__moved", moved).withColumns({"is_val": F.col("__moved"), "is_train": F.col("is_train") & ~F.col("__moved")}).drop("__moved")
+    r, n, moved = unused(df.columns, "r", "n", "moved")
+    rows = ranked(df, ["is_train"], [key, "node_id"], r, n)
+    rows = rows.withColumn(moved, F.col("is_train") & (F.col(r) < F.greatest(F.lit(1), F.floor(F.col(n) * share))))
+    return rows.withColumns({"is_val": F.col(moved), "is_train": F.col("is_train") & ~F.col(moved)}).drop(r, n, moved)
+
+
+def numbered(ids: DataFrame, col: str, name: str) -> DataFrame:
+    """Adds ``name``: the place from 0 of each row in the order of ``col``, over many partitions."""
+    return ranked(ids, [], [col], name)
+
+
+def induced(edges: DataFrame, kept: DataFrame, left: str, right: str, order: str) -> DataFrame:
+    """(src, dst): edges whose ``left`` end is among ``kept`` (its column of that name), both ends numbered anew: kept ones by
+    id, the others in the order of ``order``, one for each edge's row."""
+    a = numbered(kept.select(left).distinct(), left, "src")
+    b = numbered(edges.join(kept.select(left).distinct(), left, "left_semi").select(left, right, *([order] if order not in (left, right) else [])), order, "dst")
+    return b.join(a, left).select("src", "dst")
 
 
 def md5_key(seed: int = 0):
@@ -149,7 +164,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> TypedGraph:
 def activity(spark: SparkSession, sf_dir: str) -> TypedGraph:
     """Users (target: their most frequent event type, ties to the first by name), event types and days."""
     ev = read(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
-    index = lambda c: F.broadcast(ev.select(c).distinct().withColumn(f"{c}_id", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("long")))
+    index = lambda c: numbered(ev.select(c).distinct(), c, f"{c}_id")
     e = ev.join(index("event_type"), "event_type").join(index("day"), "day")
     most = e.groupBy("user_id", "event_type_id").count().groupBy("user_id").agg(F.max_by("event_type_id", F.struct("count", -F.col("event_type_id"))).alias("y"))
     users = spark.range(0, ev.agg(F.max("user_id")).first()[0] + 1).withColumnRenamed("id", "node_id").join(most.withColumnRenamed("user_id", "node_id"), "node_id", "left").withColumn("x", F.lit(None).cast("array<double>"))
@@ -162,7 +177,7 @@ def documents(spark: SparkSession, sf_dir: str) -> TypedGraph:
     """Documents (target: quality; -1 without a label), their sources and languages."""
     d = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    index = lambda c: F.broadcast(d.select(c).where(F.col(c).isNotNull()).distinct().withColumn(f"{c}_id", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("long")))
+    index = lambda c: numbered(d.select(c).where(F.col(c).isNotNull()).distinct(), c, f"{c}_id")
     rows = d.join(labels, "doc_id", "left").select(F.col("doc_id").alias("node_id"), "source", "lang", F.array(F.log1p(F.col("n_chars").cast("double"))).alias("x"), F.coalesce("y", F.lit(-1)).alias("y"))
     e = rows.join(index("source"), "source").join(index("lang"), "lang")
     bare = lambda c: index(c).select(F.col(f"{c}_id").alias("node_id"), F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("int").alias("y"))
