@@ -120,14 +120,16 @@ def rebuilt(k: Kernel, cmap: DataFrame) -> Kernel:
     return Kernel(nodes, e.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.sum("w").alias("w")))
 
 
-def reassign_candidates(k: Kernel, cmap: DataFrame, most: int = 32) -> DataFrame:
+def reassign_candidates(k: Kernel, cmap: DataFrame, most: int = 32, done: DataFrame | None = None) -> DataFrame:
     """(gid, root, type_id): for nodes that merged with none, the merged groups of their type seen in two hops through a
-    mediator of another type (hubs left out), at most ``most`` by id."""
+    mediator of another type (hubs left out), at most ``most`` by id. Nodes of ``done`` (gid), groups of earlier passes, don't move."""
     adj = adjacency(k.edges)
     deg = degrees(adj, k.nodes)
     small = deg.join(F.broadcast(hub_caps(deg)), "type_id").where("degree <= cap").select("gid", "type_id")
     groups = cmap.groupBy("root").count().where("count > 1").select("root")
     single = cmap.groupBy("root").count().where("count = 1").select(F.col("root").alias("gid")).join(small, "gid")
+    if done is not None:
+        single = single.join(done, "gid", "left_anti")
     med = small.select(F.col("gid").alias("med"), F.col("type_id").alias("t_med"))
     kind = k.nodes.select(F.col("gid").alias("o"), F.col("type_id").alias("t_o"))
     hop = adj.select(F.col("u").alias("gid"), F.col("v").alias("med")).join(single, "gid").join(med, "med").where("type_id <> t_med")
@@ -138,13 +140,13 @@ def reassign_candidates(k: Kernel, cmap: DataFrame, most: int = 32) -> DataFrame
     return merged_smallest(near.select("gid", "type_id", "roots"), ["gid", "type_id"], "roots", most).select("gid", F.explode("roots").alias("root"), "type_id")
 
 
-def reassigned(k: Kernel, cmap: DataFrame, scale: float = 1.0) -> DataFrame:
+def reassigned(k: Kernel, cmap: DataFrame, scale: float = 1.0, done: DataFrame | None = None) -> DataFrame:
     """(gid, root): accepted moves of single nodes to the nearest visible group: distance to its mean times
     1 + ln(1 + degree / mean degree) at most scale * variance. A node never moves into another single node, so no move
     can undo another."""
     from .embed import vector_mean
 
-    cand = reassign_candidates(k, cmap)
+    cand = reassign_candidates(k, cmap, done=done)
     deg = degrees(adjacency(k.edges), k.nodes)
     centre = vector_mean(k.nodes.join(cmap, "gid").where("x is not null").select("root", "x"), ["root"]).withColumnRenamed("x", "c")
     d = cand.join(centre, "root").join(k.nodes.select("gid", "x"), "gid").withColumn("d", distance2(F.col("x"), F.col("c")))
@@ -169,6 +171,7 @@ def coarsened(k: Kernel, scale: float = 1.0, target: float = 0.0, levels: int =
     start = k.nodes.count()
     total = None
     now, history = start, []
+    flags = None  # (gid, done) of the present roots: groups stay groups through rebuilds, and never move as single nodes
     for turn in range(levels * outers):
         ordered, pairs = first if first and not turn else candidate_pairs(k, window, cap, hubs)
         ok = settled(admissible(pairs, feature_variance(k.nodes), scale, scales))
@@ -186,10 +189,12 @@ def coarsened(k: Kernel, scale: float = 1.0, target: float = 0.0, levels: int =
             m = k.nodes.select("gid").join(joined, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
         if reassign and not full:
             m = settled(m)
-            moves = reassigned(k, m, scale).withColumnRenamed("root", "to")
+            moves = reassigned(k, m, scale, flags.where("done").select("gid") if flags is not None else None).withColumnRenamed("root", "to")
             m = m.join(moves, "gid", "left").select("gid", F.coalesce("to", "root").alias("root"))
         m = settled(m)
         after = m.select("root").distinct().count()
+        if reassign:
+            flags = settled(finalized(flags if flags is not None else m.select("gid", F.lit(False).alias("done")), m))
         total = m if total is None else settled(composed(total, m))
         if after < now:
             k = rebuilt(k, m)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import added, normalized, padded, scaled, sign_projection
+from .ranks import ranked
 from .sums import vectors_by, width
 from .tables import settled
 
@@ -113,14 +114,20 @@ def sampled_neighbours(g: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return pair.withColumn("r", F.row_number().over(Window.partitionBy("src_type", "rel", "dst_type", "d").orderBy(key, "s"))).where(F.col("r") <= k).drop("r")
 
 
-def walks(adj: DataFrame, starts: DataFrame, length: int, seed: int = 0) -> DataFrame:
-    """(gid, walk): from each start, steps to a neighbour chosen by a hash of (start, step); a ranked join for each step."""
-    ranked = adj.select("u", "v").distinct().withColumns({"i": F.row_number().over(Window.partitionBy("u").orderBy("v")) - 1, "n": F.count("*").over(Window.partitionBy("u"))})
-    w = starts.select("gid", F.col("gid").alias("at"), F.array("gid").alias("walk"))
-    deg = ranked.where("i = 0").select(F.col("u").alias("at"), "n")
+def walks(adj: DataFrame, starts: DataFrame, length: int, seed: int = 0, per_node: int = 1, every: int = 8) -> DataFrame:
+    """(gid, walk): ``per_node`` walks from each start, with steps to a neighbour chosen by a hash of (start, walk, step). The
+    neighbours' numbers are written once, and the walks every few steps. Walks from one node spread over its neighbours'
+    numbers, so a hub's row isn't one task's work: a step joins by node and number."""
+    numbered = ranked(adj.select("u", "v").distinct(), ["u"], ["v"], "i", "n")
+    numbered = settled(numbered.select(F.col("u").alias("at"), "i", "v", "n"))
+    deg = numbered.where("i = 0").select("at", "n")
+    w = starts.select("gid", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk_no"), F.col("gid").alias("at"), F.array("gid").alias("walk"))
     for step in range(length - 1):
-        pick = w.join(deg, "at").withColumn("i", F.pmod(F.xxhash64("gid", F.lit(seed), F.lit(step)), F.col("n")).cast("int")).drop("n")
-        w = pick.join(ranked.select(F.col("u").alias("at"), "i", "v"), ["at", "i"]).select("gid", F.col("v").alias("at"), F.concat("walk", F.array("v")).alias("walk"))
+        key = F.xxhash64("gid", F.lit(seed), F.lit(step)) if per_node == 1 else F.xxhash64("gid", "walk_no", F.lit(seed), F.lit(step))
+        pick = w.join(deg, "at").withColumn("i", F.pmod(key, F.col("n"))).drop("n")
+        w = pick.join(numbered.select("at", "i", "v"), ["at", "i"]).select("gid", "walk_no", F.col("v").alias("at"), F.concat("walk", F.array("v")).alias("walk"))
+        if step % every == every - 1:
+            w = settled(w)
     return w.select("gid", "walk")
 
 
@@ -154,10 +161,7 @@ def metapath_embed(graph, g: DataFrame, dim: int = 16, length: int = 50, per_nod
         some = g.where(((F.col("st") == a) & (F.col("dt") == b)) | ((F.col("st") == b) & (F.col("dt") == a)))
         adj = some.select(F.col("s").alias("u"), F.col("d").alias("v")).unionByName(some.select(F.col("d").alias("u"), F.col("s").alias("v"))).distinct()
         starts = adj.select(F.col("u").alias("gid")).distinct().join(graph.nodes.where(F.col("type_id") == t).select("gid"), "gid")
-        texts = None
-        for i in range(per_node):
-            w = walks(adj, starts, length, seed + 1000 * n + i).select(F.transform("walk", lambda x: x.cast("string")).alias("words"))
-            texts = w if texts is None else texts.unionByName(w)
+        texts = settled(walks(adj, starts, length, seed + 1000 * n, per_node)).select(F.transform("walk", lambda x: x.cast("string")).alias("words"))
         model = Word2Vec(vectorSize=dim, minCount=0, seed=seed, inputCol="words", outputCol="out", windowSize=3, maxIter=epochs).fit(texts)
         from pyspark.ml.functions import vector_to_array
 

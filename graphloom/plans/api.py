@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import baselines, coarsen, embed, metrics, quotient, search, topology
+from ..operators import baselines, coarsen, embed, metrics, quotient, reduce, sage, search, topology
 from ..schema import TypedGraph, global_edges, validated
 
 
@@ -19,26 +19,33 @@ class Result:
     info: dict
 
 
-def compress(graph: TypedGraph, ratio: float = 0.1, emb_method: str = "fast", dim: int = 4, hops: int = 2, pairwise_merge: bool = True, merge_objective: str = "ward", skip_reassignment: bool = False, type_thresholds: bool = False, metapath_thresholds: bool = False, edge_weight_mode: str = "binary", use_soft_labels: bool = False, freeze_node_types: tuple[str, ...] = (), ratio_search: str = "fast", auto_search_runs: int = 8, auto_target_tolerance: float | None = None, max_candidates: int = 128, window: int = 20, hub_caps: bool | int | dict[int, int] = True, levels: int = 5, outers: int = 10, seed: int = 42) -> Result:
-    """Keeps about ``ratio`` of the nodes. Embeddings are 'fast', 'relprop', 'raw' or 'metapath'; the search is 'fast' or
-    'precise'. Mediator lists are thinned to ``max_candidates`` and joined in a band of ``window`` ranks. A run has
+def compress(graph: TypedGraph, ratio: float = 0.1, emb_method: str = "fast", dim: int = 4, hops: int = 2, pairwise_merge: bool = True, merge_objective: str = "ward", skip_reassignment: bool = False, type_thresholds: bool = False, metapath_thresholds: bool = False, edge_weight_mode: str = "binary", use_soft_labels: bool = False, freeze_node_types: tuple[str, ...] = (), ratio_search: str = "fast", auto_search_runs: int = 8, auto_target_tolerance: float | None = None, max_candidates: int = 128, window: int = 20, hub_caps: bool | int | dict[int, int] = True, levels: int = 5, outers: int = 10, seed: int = 42, pretrain_epochs: int = 100, pca_dim: int | None = None) -> Result:
+    """Keeps about ``ratio`` of the nodes. Embeddings are 'fast', 'relprop', 'raw', 'metapath' or 'gnn' (a network trained for
+    ``pretrain_epochs`` at most); ``pca_dim`` reduces each type's vectors. The search is 'fast' or 'precise'. Mediator lists are thinned to ``max_candidates`` and joined in a band of ``window`` ranks. A run has
     ``levels`` * ``outers`` passes at most, and ends at the wanted ratio or without merges. ``seed`` draws walks; all other
     steps are free of chance."""
     if ratio_search not in ("fast", "precise"):
         raise ValueError("ratio_search must be fast or precise")
     if edge_weight_mode not in quotient.MODES:
         raise ValueError(f"edge_weight_mode must be one of {quotient.MODES}")
-    if emb_method not in ("fast", "relprop", "raw", "metapath"):
-        raise ValueError("emb_method must be fast, relprop, raw or metapath")
+    if emb_method not in ("fast", "relprop", "raw", "metapath", "gnn"):
+        raise ValueError("emb_method must be fast, relprop, raw, metapath or gnn")
     validated(graph.edges, graph.types)
     g = global_edges(graph.edges, graph.types)
     k = coarsen.kernel_of(graph)
-    if emb_method == "metapath":
-        h = embed.metapath_embed(graph, g, dim, seed=seed)
+    if emb_method in ("metapath", "gnn"):
+        if emb_method == "gnn":
+            h = sage.embedding(graph, coarsen.settled(g), coarsen.settled(k.nodes), dim, pretrain_epochs, seed=seed)
+        else:
+            h = embed.metapath_embed(graph, g, dim, seed=seed)
         k = coarsen.Kernel(k.nodes.join(h, "gid", "left").select("gid", "type_id", F.coalesce("h", "x").alias("x")), k.edges)
     elif emb_method != "raw":
         h = (embed.fast_embed if emb_method == "fast" else embed.relation_embed)(graph.nodes, coarsen.settled(g), hops, dim)
         k = coarsen.Kernel(k.nodes.join(h, "gid").select("gid", "type_id", F.coalesce("h", "x").alias("x")), k.edges)
+    explained = {}
+    if pca_dim:
+        reduced, explained = reduce.pca_by_type(coarsen.settled(k.nodes), pca_dim)
+        k = coarsen.Kernel(reduced, k.edges)
     k = coarsen.Kernel(coarsen.settled(k.nodes), coarsen.settled(k.edges))
     adj = topology.adjacency(k.edges)
     deg = topology.degrees(adj, k.nodes)
@@ -49,7 +56,7 @@ def compress(graph: TypedGraph, ratio: float = 0.1, emb_method: str = "fast", di
     energies = coarsen.settled(search.mediator_energies(lists, k.nodes, var))
     want = 1 / ratio
     mean_degree = float(deg.agg(F.avg("degree")).first()[0] or 0)
-    first = search.one_shot_scale(energies, want, mean_degree, fallback=lambda: search.cdf_scale(search.edge_distances(g, k.nodes), want))
+    first = search.one_shot_scale(energies, want, mean_degree, fallback=lambda: search.cdf_scale(search.sampled_distances(g, k.nodes, graph), want))
     base = None
     if type_thresholds or metapath_thresholds:
         base = search.bases(energies, search.one_shot_share(want, mean_degree), ["t_src", "t_med"])
@@ -67,6 +74,8 @@ def compress(graph: TypedGraph, ratio: float = 0.1, emb_method: str = "fast", di
         cmap, info = search.fast_search(run, first, ratio, base is not None)
     else:
         cmap, info = search.precise_search(run, first, ratio, auto_target_tolerance or 0.05, auto_search_runs)
+    if explained:
+        info = info | {"explained_variance": explained}
     return finish(graph, cmap, info, edge_weight_mode, use_soft_labels, freeze_node_types)
 
 

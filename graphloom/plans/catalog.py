@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import baselines, coarsen, embed, metrics, quotient, search, topology
+from ..operators import baselines, coarsen, embed, metrics, quotient, reduce, sage, search, topology
 from ..schema import TypedGraph, global_edges, outside
 from ..sources import graphs
 from . import api, experiments
@@ -534,14 +534,13 @@ def density_leaders(spark, d):
     return dens.select("med", "t_src", "u", F.row_number().over(Window.partitionBy("med", "t_src").orderBy(F.desc("density"), "u")).alias("r"))
 
 
-@query(T + REL + E + D + M + K + LISTS + ORDERED + PAIRS + """, one AS (SELECT gid, a FROM kx WHERE type_id = 3),
-en AS (SELECT p.med, p.u, p.v, sum(2 * ((xu.a + xv.a) / 2 - xk.a) * ((xu.a + xv.a) / 2 - xk.a) - (xu.a - xk.a) * (xu.a - xk.a) - (xv.a - xk.a) * (xv.a - xk.a)) AS dl
-FROM (SELECT * FROM pairs WHERE t_src = 3) p JOIN (SELECT * FROM strided WHERE t_src = 3) o ON o.med = p.med AND o.u <> p.u AND o.u <> p.v JOIN one xu ON xu.gid = p.u JOIN one xv ON xv.gid = p.v JOIN one xk ON xk.gid = o.u GROUP BY ALL)
-SELECT p.med, p.u, p.v, round(coalesce(dl, 0) - 2 * cost, 5) + 0.0 AS delta FROM (SELECT * FROM pairs WHERE t_src = 3) p LEFT JOIN en ON en.med = p.med AND en.u = p.u AND en.v = p.v""")
+# With weights of 1 the change is a closed form: each of a list's n members, the pair included, loses half of |x_u - x_v|^2.
+@query(T + REL + E + D + M + K + LISTS + ORDERED + PAIRS + """, sizes AS (SELECT med, t_src, count(*) AS n FROM strided GROUP BY ALL)
+SELECT p.med, p.u, p.v, round(round(-n * cost, 9), 5) + 0.0 AS delta FROM pairs p JOIN sizes USING (med, t_src)""")
 def dirichlet_delta(spark, d):
     k, ordered, p = pairs_of(spark, d)
-    p, o = p.where("t_src = 3").select("med", "t_src", "u", "v", "w_u", "w_v"), ordered.where("t_src = 3")
-    return topology.dirichlet_delta(p, o, k.nodes).select("med", "u", "v", (F.round("delta", 5) + 0.0).alias("delta"))
+    p = p.select("med", "t_src", "u", "v", "w_u", "w_v")
+    return topology.dirichlet_delta(p, ordered, k.nodes).select("med", "u", "v", (F.round(F.round("delta", 9), 5) + 0.0).alias("delta"))
 
 
 @query(T + REL + E + D + """, half AS (SELECT a.u AS med, a.v AS u, b.type_id AS t FROM adj a JOIN degs m ON m.gid = a.u AND m.degree <= 30 JOIN degs b ON b.gid = a.v),
@@ -552,12 +551,6 @@ def two_hop_candidates(spark, d):
     return topology.two_hop_candidates(adj, deg, 30, 5).select("u", "v", "rank")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 0.5::DOUBLE), (1, 2, 0.25::DOUBLE), (2, 0, 0.75::DOUBLE)) t(t_src, t_med, scale)")
-def threshold_scale(spark, d):
-    p = spark.createDataFrame([(1, 0), (1, 2), (2, 0)], "t_src int, t_med int")
-    return topology.threshold_scale(p, spark.createDataFrame([(1, 2, 0.25)], "t_src int, t_med int, scale double"), spark.createDataFrame([(1, 0.5)], "t_src int, scale double"), 0.75).select("t_src", "t_med", "scale")
-
-
 # Coarsening
 
 SIMPLE = ", cand AS (SELECT least(u, v) AS u, greatest(u, v) AS v, min(round(cost, 6)) AS cost FROM pairs WHERE round(cost, 6) <= 0.05 GROUP BY ALL), sides AS (SELECT u AS me, u, v, cost FROM cand UNION ALL SELECT v, u, v, cost FROM cand), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY me ORDER BY cost, u, v) AS r FROM sides) WHERE r = 1), merges AS (SELECT u, v FROM best GROUP BY u, v HAVING count(*) = 2) "
@@ -581,6 +574,14 @@ def kernel_rebuild(spark, d):
     return k.edges.select("u", "v", F.col("w").cast("long").alias("w"))
 
 
+@query(T + REL + D + M + K + "SELECT gid - node_id % 4 AS gid, i, round(avg(a), 6) + 0.0 AS value FROM kx JOIN nodes USING (gid) GROUP BY ALL")
+def kernel_rebuild_features(spark, d):
+    g = trade(spark, d)
+    k = coarsen.rebuilt(coarsen.kernel_of(g), mod4(g))
+    one = k.nodes.select("gid", F.posexplode("x").alias("i", "a"))
+    return one.select("gid", F.col("i").cast("long").alias("i"), r6(F.col("a"), "value"))
+
+
 @query(T + REL + D + "SELECT gid - node_id % 4 AS gid, bool_or(gid % 7 = 0) OR count(*) > 1 AS done FROM nodes GROUP BY 1")
 def finalized_flags(spark, d):
     g = trade(spark, d)
@@ -609,10 +610,20 @@ def reassign_candidates(spark, d):
     return coarsen.reassign_candidates(coarsen.kernel_of(g), _fives(g))
 
 
-@query()
+@query(T + REL + E + D + M + K + SINGLES + """, single AS (SELECT small.* FROM small JOIN sz ON sz.root = small.gid AND n = 1 JOIN cm ON cm.gid = small.gid AND cm.root = small.gid),
+cand AS (SELECT gid, type_id, root FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY root) AS r FROM (
+SELECT DISTINCT s.gid, s.type_id, c.root FROM single s JOIN adj a ON a.u = s.gid JOIN small m ON m.gid = a.v AND m.type_id <> s.type_id JOIN adj b ON b.u = m.gid AND b.v <> s.gid JOIN nodes o ON o.gid = b.v AND o.type_id = s.type_id JOIN cm c ON c.gid = b.v JOIN sz ON sz.root = c.root AND sz.n > 1)) WHERE r <= 32),
+centre AS (SELECT root, i, avg(a) AS c FROM kx JOIN cm USING (gid) GROUP BY ALL),
+dist AS (SELECT cand.gid, cand.type_id, cand.root, round(sum((a - c) * (a - c)), 9) AS d FROM cand JOIN kx ON kx.gid = cand.gid JOIN centre ON centre.root = cand.root AND centre.i = kx.i GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY d, root) AS r FROM dist) WHERE r = 1),
+md AS (SELECT type_id, greatest(1, avg(degree)) AS md FROM degs GROUP BY 1),
+kvar AS (SELECT type_id, CASE WHEN max(n) >= 2 AND sum(v) > 0 THEN sum(v) ELSE 1 END AS var FROM (SELECT type_id, i, var_pop(a) AS v, count(*) AS n FROM kx GROUP BY ALL) GROUP BY 1)
+SELECT best.gid, best.root FROM best JOIN degs ON degs.gid = best.gid JOIN md ON md.type_id = best.type_id JOIN kvar ON kvar.type_id = best.type_id
+WHERE round(d * (1 + ln(1 + degree / md)), 9) <= round(0.5 * var, 9)""")
 def reassign_round(spark, d):
     g = trade(spark, d)
-    return coarsen.reassigned(coarsen.kernel_of(g), _fives(g), 0.5)
+    k = coarsen.kernel_of(g)
+    return coarsen.reassigned(coarsen.Kernel(coarsen.settled(k.nodes), coarsen.settled(k.edges)), _fives(g), 0.5)
 
 
 @query()
@@ -681,42 +692,66 @@ def metapath_threshold_bases(spark, d):
     return search.bases(_energies(spark, d), 0.3, ["t_src", "t_med"]).withColumn("scale", F.round("scale", 5))
 
 
+@query(T + REL + E + D + M + K + LISTS + EN + """, own AS (SELECT t_src, t_med, avg(energy) AS s FROM en GROUP BY ALL HAVING count(*) >= 400),
+up AS (SELECT t_src, avg(energy) AS s FROM en GROUP BY 1 HAVING count(*) >= 1500)
+SELECT t_src, t_med, round(coalesce(own.s, up.s, (SELECT avg(energy) FROM en)), 5) AS scale
+FROM (SELECT DISTINCT t_src, t_med FROM lists) LEFT JOIN own USING (t_src, t_med) LEFT JOIN up USING (t_src)""")
+def threshold_scale(spark, d):
+    """Mean energies: of a pair of types with 400 or more, else of a source type with 1,500 or more, else of all."""
+    k, lists = lists_of(spark, d)
+    en = coarsen.settled(search.mediator_energies(lists, k.nodes, topology.feature_variance(k.nodes)))
+    mean = lambda keys, least: en.groupBy(*keys).agg(F.avg("energy").alias("scale"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    wanted = lists.select("t_src", "t_med").distinct()
+    out = topology.threshold_scale(wanted, mean(["t_src", "t_med"], 400), mean(["t_src"], 1500), en.agg(F.avg("energy")).first()[0])
+    return out.select("t_src", "t_med", F.round("scale", 5).alias("scale"))
+
+
 def _searched(spark, d, how):
-    """A search over a cheap compressor whose compression grows with the scale: prices within the scale share a bucket."""
-    p = graphs.read(spark, d, "part").select("p_partkey", "p_retailprice")
-    n = p.count()
-    run = lambda s: (s, n / max(1, p.select(F.floor(F.col("p_retailprice") / s)).distinct().count()))
-    _, info = how(run)
-    return spark.createDataFrame([(round(info["scale"], 6), round(info["compression"], 6), info["saturated"])], "scale double, compression double, saturated boolean")
+    """A search over the coarsening itself: one pass a run over candidates that are made once."""
+    k, _, _ = kernel(spark, d)
+    near = coarsen.candidate_pairs(k, 5, 16)
+    near = near[0], coarsen.settled(near[1])
+
+    def run(scale: float):
+        m, info = coarsen.coarsened(k, scale, levels=1, outers=1, window=5, cap=16, reassign=False, first=near)
+        return m, info["nodes"] / max(1, info["supernodes"])
+
+    cmap, info = how(run)
+    kept = cmap.agg((F.count_distinct("root") / F.count("*")).alias("kept")).first()["kept"]
+    return spark.createDataFrame([(round(info["scale"], 6), round(info["compression"], 6), round(kept * info["compression"], 6), info["saturated"])], "scale double, compression double, one double, saturated boolean")
 
 
 @query()
 def ratio_search_fast(spark, d):
-    return _searched(spark, d, lambda run: search.fast_search(run, 0.5, 0.1))
+    return _searched(spark, d, lambda run: search.fast_search(run, 0.05, 0.8))
 
 
 @query()
 def ratio_search_precise(spark, d):
-    return _searched(spark, d, lambda run: search.precise_search(run, 0.5, 0.1))
+    return _searched(spark, d, lambda run: search.precise_search(run, 0.05, 0.8))
 
 
-def _checked(spark, d, node_map):
-    """What any map from nodes to supernodes must be: every node once, roots that are members of their own group, types
-    kept, supernode ids without gaps."""
+def _checked(spark, d, node_map, ratio: float, slack: float):
+    """What a map from nodes to supernodes must be: every node once, roots that are members of their own group, types kept,
+    supernode ids without gaps; and what it must do: keep the wanted share of nodes up to ``slack`` of it, have groups of more
+    than one, and leave every type."""
     g = trade(spark, d)
+    node_map = coarsen.settled(node_map)
     m = node_map.join(g.nodes.select("gid", F.col("type_id").alias("t")), "gid", "full")
     roots = node_map.select(F.col("gid").alias("root"), F.col("root").alias("again"), F.col("type_id").alias("t_root"))
-    per = node_map.groupBy("type_id").agg((F.count_distinct("super_id") == F.max("super_id") + 1).alias("dense"))
+    per = node_map.groupBy("type_id").agg((F.count_distinct("super_id") == F.max("super_id") + 1).alias("dense"), F.count_distinct("root").alias("kept"), F.count("*").alias("all"))
+    share = F.sum("kept") / F.sum("all")
+    whole = per.agg(F.bool_and("dense").alias("dense"), F.count("*").alias("types"), F.coalesce(F.abs(share - ratio) <= slack * ratio, F.lit(False)).alias("near"), (F.sum("kept") < F.sum("all")).alias("merged"))
     bad = m.join(roots, "root", "left").agg(F.count_if(F.col("t").isNull() | F.col("type_id").isNull() | (F.col("t") != F.col("type_id"))).alias("odd"), F.count_if(~F.coalesce((F.col("again") == F.col("root")) & (F.col("t_root") == F.col("type_id")), F.lit(False))).alias("lost"), F.count("*").alias("n"))
-    return bad.crossJoin(per.agg(F.bool_and("dense").alias("dense")))
+    return bad.crossJoin(whole)
 
 
-CHECKED = T + REL + D + "SELECT 0::BIGINT AS odd, 0::BIGINT AS lost, count(*)::BIGINT AS n, true AS dense FROM nodes"
+CHECKED = T + REL + D + "SELECT 0::BIGINT AS odd, 0::BIGINT AS lost, count(*)::BIGINT AS n, true AS dense, count(DISTINCT type_id)::BIGINT AS types, true AS near, true AS merged FROM nodes"
 
 
 @query(CHECKED)
 def compress_main(spark, d):
-    return _checked(spark, d, api.compress(trade(spark, d), 0.5).node_map)
+    return _checked(spark, d, api.compress(trade(spark, d), 0.5).node_map, 0.5, 0.1)
 
 
 # Other compressors
@@ -750,12 +785,12 @@ def compress_lsh(spark, d):
 
 @query(CHECKED)
 def compress_cgc_homo(spark, d):
-    return _checked(spark, d, api.compress_cgc_homo(trade(spark, d), 0.5, 60, 16).node_map)
+    return _checked(spark, d, api.compress_cgc_homo(trade(spark, d), 0.5, 60, 16).node_map, 0.5, 0.1)
 
 
 @query(CHECKED)
 def compress_freehgc(spark, d):
-    return _checked(spark, d, api.compress_freehgc(trade(spark, d), 0.05, 1).node_map)
+    return _checked(spark, d, api.compress_freehgc(trade(spark, d), 0.05, 1).node_map, 0.05, 0.1)
 
 
 @query(T + REL + D + """, c AS (SELECT y, count(*) AS n FROM nodes WHERE is_train GROUP BY y), f AS (SELECT *, (row_number() OVER (ORDER BY n DESC, y) <= 37)::INT AS first FROM c),
@@ -772,7 +807,7 @@ def type_budget(spark, d):
     return baselines.type_budget(trade(spark, d).types, 0.03)
 
 
-REACH = ", seeds AS (SELECT gid FROM nodes WHERE type_id = 0 AND is_train), h1 AS (SELECT v AS gid, count(*) * 0.5 AS score FROM seeds JOIN adj ON gid = u GROUP BY 1), f1 AS (SELECT gid FROM h1 WHERE gid NOT IN (SELECT gid FROM seeds)), h2 AS (SELECT v AS gid, count(*) * 0.25 AS score FROM f1 JOIN adj ON gid = u GROUP BY 1), reach AS (SELECT gid, sum(score)::DOUBLE AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1) "
+REACH = ", seeds AS (SELECT gid FROM nodes WHERE type_id = 0 AND is_train), h1 AS (SELECT v AS gid, count(*) * 0.5 AS score FROM seeds JOIN adj ON gid = u GROUP BY 1), f1 AS (SELECT gid FROM h1 WHERE gid NOT IN (SELECT gid FROM seeds)), h2 AS (SELECT v AS gid, count(*) * 0.25 AS score FROM f1 JOIN adj ON gid = u GROUP BY 1), reach AS (SELECT gid, sum(score)::DOUBLE AS score FROM (SELECT gid, 1.0 AS score FROM seeds UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1) "
 
 
 def _reach(spark, d):
@@ -836,6 +871,42 @@ def linear_probe(spark, d):
     return c.select(*(x if x == "n" else F.round(x, 2).alias(x) for x in c.columns))
 
 
+@query()
+def gnn_training(spark, d):
+    """The loss and accuracies of a typed network, epoch by epoch, on the vectors and their buckets."""
+    g = graphs.vectors(spark, d)
+    k = coarsen.kernel_of(g)
+    nodes = k.nodes.join(g.nodes.select("gid", "y", "is_train", "is_val"), "gid")
+    model = sage.prepared(nodes, glob(g), 0, 10, hidden=16, layers=1)
+    sage.trained(model, epochs=4, rate=0.02)
+    rows = [(i, round(s["loss"], 6), round(s["train"], 6), s["val"]) for i, s in enumerate(model.history)]
+    return spark.createDataFrame(rows, "epoch int, loss double, train double, val double")
+
+
+@query("WITH v AS (SELECT unnest(embedding)::DOUBLE AS a FROM embeddings) SELECT 0 AS type_id, count(DISTINCT vec_id)::BIGINT AS n, (SELECT round(sum(s), 4) FROM (SELECT var_pop(a) AS s FROM (SELECT unnest(embedding)::DOUBLE AS a, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i)) AS variance FROM embeddings")
+def pca_variance(spark, d):
+    """Components keep the whole variance when all are kept: their variances add up to the dimensions' own."""
+    e = graphs.read(spark, d, "embeddings").select(F.lit(0).alias("type_id"), F.col("vec_id").alias("gid"), F.col("embedding").cast("array<double>").alias("x"))
+    n, mean, covariance = reduce.moments(e)[0]
+    vector, _ = reduce.components(mean, covariance, len(mean))
+    total = float(((vector.T @ covariance) * vector.T).sum())
+    return spark.createDataFrame([(0, n, round(total, 4))], "type_id int, n long, variance double")
+
+
+@query("SELECT true AS linked, true AS alternates, count(DISTINCT c_custkey)::BIGINT * 3 AS walks, 12 AS length FROM customer JOIN orders ON o_custkey = c_custkey")
+def walk_invariants(spark, d):
+    """Three walks of 12 nodes from each customer with orders: every step is an edge, and types alternate."""
+    g = trade(spark, d)
+    some = coarsen.settled(glob(g).where("rel = 'places'").select("s", "d"))
+    adj = some.select(F.col("s").alias("u"), F.col("d").alias("v")).unionByName(some.select(F.col("d").alias("u"), F.col("s").alias("v"))).distinct()
+    w = coarsen.settled(embed.walks(adj, some.select(F.col("s").alias("gid")).distinct(), 12, 0, 3))
+    steps = w.select(F.explode(F.arrays_zip(F.slice("walk", 1, 11).alias("a"), F.slice("walk", 2, 11).alias("b"))).alias("p")).select("p.a", "p.b")
+    lost = steps.join(adj.toDF("a", "b"), ["a", "b"], "left_anti").count() == 0
+    n = g.types.where("type_id = 1").first()["offset"]
+    odd = F.exists(F.transform("walk", lambda x, i: (x >= n) != (i % 2 == 1)), lambda b: b)
+    return w.agg(F.lit(lost).alias("linked"), (F.count_if(odd) == 0).alias("alternates"), F.count("*").alias("walks"), F.max(F.size("walk")).alias("length"))
+
+
 def _runs(spark, d):
     """Stand-in run records from the orders: model, variant, ratio, accuracy."""
     o = graphs.read(spark, d, "orders")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import embed, metrics, probe
+from ..operators import embed, metrics, probe, sage
 from ..operators.ranks import ranked, unused
 from ..schema import TypedGraph, global_edges
 from ..sources.graphs import flagged
@@ -28,29 +28,77 @@ def accepted(f: Callable, **options) -> dict:
     return {k: v for k, v in options.items() if k in names}
 
 
-def evaluated(graph: TypedGraph, node_map: DataFrame, super_y: DataFrame) -> dict:
-    """Bound and scores of a map: a probe is fitted on supernodes (type_id, super_id, y) and judged on original nodes."""
+def evaluated(graph: TypedGraph, node_map: DataFrame, super_y: DataFrame, pred: DataFrame | None = None) -> dict:
+    """Bound and scores of a map, judged on original nodes: of predictions (type_id, super_id, p), or of a probe that is fitted
+    on supernodes (type_id, super_id, y)."""
     t_id = graph.types.where(F.col("node_type") == graph.target).first()["type_id"]
     bound = metrics.oracle_upper_bound(graph.nodes, node_map).first().asDict()
+    if pred is None:
+        pred = probed(graph, node_map, super_y, t_id)
+    score = metrics.classification(metrics.on_originals(pred.select("type_id", "super_id", "p"), graph.nodes, node_map)).first().asDict()
+    return {"upper_bound": bound["upper_bound"], "oracle_gap": (bound["upper_bound"] or 0) - (score["accuracy"] or 0)} | score
+
+
+def probed(graph: TypedGraph, node_map: DataFrame, super_y: DataFrame, t_id: int) -> DataFrame:
+    """A probe's predictions for supernodes, from the means of their members' embeddings."""
     h = embed.fast_embed(graph.nodes, global_edges(graph.edges, graph.types))
     sup = h.join(node_map.select("gid", "type_id", "super_id"), "gid").where(F.col("type_id") == t_id)
     mean = embed.vector_mean(sup.select("type_id", "super_id", F.col("h").alias("x")), ["type_id", "super_id"]).withColumnRenamed("x", "h")
     labelled = mean.join(super_y.select("type_id", "super_id", "y"), ["type_id", "super_id"])
-    pred = probe.predicted(probe.fitted(labelled.where("y >= 0")), labelled)
-    score = metrics.classification(metrics.on_originals(pred.select("type_id", "super_id", "p"), graph.nodes, node_map)).first().asDict()
-    return {"upper_bound": bound["upper_bound"], "oracle_gap": (bound["upper_bound"] or 0) - (score["accuracy"] or 0)} | score
+    return probe.predicted(probe.fitted(labelled.where("y >= 0")), labelled)
 
 
-def run_once(graph: TypedGraph, ratio: float, compressor: Callable, seed: int = 42, **how) -> dict:
-    """One record: compress (the seed goes to compressors that take one), bound, fit a probe on supernodes, score it on
-    original nodes, and compare what is stored."""
-    t = time.time()
-    res = compressor(graph, ratio=ratio, **how, **accepted(compressor, seed=seed))
-    seconds = time.time() - t
-    found = evaluated(graph, res.node_map, res.data.nodes)
-    whole, small = (metrics.storage(n, e).first()["bytes"] for n, e in ((graph.nodes, graph.edges), (res.data.nodes, res.data.edges)))
+def enough_validation(graph: TypedGraph, supernodes: DataFrame, least: int = 5, seed: int = 0) -> DataFrame:
+    """Supernodes of the target type (super_id, y, flags); with fewer than ``least`` for validation, the labelled ones are split
+    anew in the shares of the graph's own split."""
+    if supernodes.where("is_val and y >= 0").limit(least).count() >= least:
+        return supernodes
+    own = graph.nodes.agg(*(F.count_if(F.col(c) & (F.col("y") >= 0)).alias(c) for c in ("is_train", "is_val", "is_test"))).first()
+    total = max(1, sum(own))
+    labelled = supernodes.where("y >= 0").drop("is_train", "is_val", "is_test").withColumnRenamed("super_id", "node_id")
+    again = resplit(labelled, own["is_train"] / total, own["is_val"] / total, seed).withColumnRenamed("node_id", "super_id")
+    return again.unionByName(supernodes.where("y < 0").withColumns({c: F.lit(False) for c in ("is_train", "is_val", "is_test")}))
+
+
+def network(graph: TypedGraph, data, epochs: int = 200, hidden: int = 16, layers: int = 2, rate: float = 1e-2, seed: int = 0) -> tuple[DataFrame, list[dict]]:
+    """(type_id, super_id, p) by a typed network trained on a quotient, with its soft labels where it has some, and the epochs'
+    losses and accuracies. Supernodes without features have the log of their size."""
+    t_id = graph.types.where(F.col("node_type") == graph.target).first()["type_id"]
+    classes = 1 + int(graph.nodes.where(F.col("type_id") == t_id).agg(F.max("y")).first()[0] or 0)
+    gid = lambda t, s: (F.col(t).cast("long") * F.lit(1 << 40) + F.col(s)).alias("gid")
+    ours = F.col("type_id") == t_id
+    split = enough_validation(graph, data.nodes.where(ours).select("super_id", "y", "is_train", "is_val", "is_test"), seed=seed)
+    flags = split.select(F.lit(t_id).alias("type_id"), "super_id", "y", "is_train", "is_val")
+    x = F.coalesce("x", F.array(F.log1p(F.col("size").cast("double")))).alias("x")
+    soft = F.lit(None).cast("array<double>")
+    if "y_soft" in data.nodes.columns:
+        share = F.map_from_entries("y_soft")
+        soft = F.when(F.size("y_soft") > 0, F.array(*[F.coalesce(F.try_element_at(share, F.lit(c)), F.lit(0.0)) for c in range(classes)]))
+    nodes = data.nodes.select("type_id", "super_id", gid("type_id", "super_id"), x, soft.alias("soft")).join(flags, ["type_id", "super_id"], "left")
+    ids = {r["node_type"]: r["type_id"] for r in graph.types.collect()}  # one row for each type
+    number = F.create_map(*[F.lit(z) for kv in ids.items() for z in kv])
+    ends = data.edges.withColumns({"st": number[F.col("src_type")], "dt": number[F.col("dst_type")]})
+    g = ends.select("src_type", "rel", "dst_type", gid("st", "ssn").alias("s"), gid("dt", "dsn").alias("d"))
+    model = sage.prepared(nodes, g, t_id, classes, hidden, layers)
+    w = sage.trained(model, epochs, rate, seed=seed)
+    pred = model.predicted(w).select(F.lit(t_id).alias("type_id"), F.pmod("gid", F.lit(1 << 40)).alias("super_id"), "p")
+    return pred, model.history
+
+
+def run_once(graph: TypedGraph, ratio: float, compressor: Callable, seed: int = 42, model: str = "probe", training: dict | None = None, **how) -> dict:
+    """One record: compress (the seed goes to compressors that take one), bound, fit on supernodes, score on original nodes, and
+    compare what is stored. ``model`` is the probe, or "gnn": a network trained on the quotient with options ``training``."""
+    stage = Stages()
+    with stage("compress"):
+        res = compressor(graph, ratio=ratio, **how, **accepted(compressor, seed=seed))
+    with stage("evaluate"):
+        pred, history = network(graph, res.data, seed=seed, **(training or {})) if model == "gnn" else (None, [])
+        found = evaluated(graph, res.node_map, res.data.nodes, pred)
+    with stage("storage"):
+        whole, small = (metrics.storage(n, e).first()["bytes"] for n, e in ((graph.nodes, graph.edges), (res.data.nodes, res.data.edges)))
     plain = {k: v for k, v in res.info.items() if isinstance(v, int | float | str | bool)}
-    return plain | {"ratio": ratio, "seed": seed, "seconds": seconds, "storage_ratio": small / max(1, whole)} | found
+    times = {f"seconds_{k}": v for k, v in stage.seconds.items()} | {"seconds": stage.seconds["compress"]}
+    return plain | {"ratio": ratio, "seed": seed, "model": model, "epochs": len(history), "storage_ratio": small / max(1, whole)} | times | found
 
 
 def run_baseline(graph: TypedGraph, seed: int = 42) -> dict:
@@ -83,6 +131,43 @@ def run_sweep(graph: TypedGraph, ratios: list[float], compressor: Callable, runs
     return out
 
 
+def resumed_sweep(graph: TypedGraph, ratios: list[float], compressor: Callable, log: str, config: str, runs: int = 3, base_seed: int = 42, run: Callable = run_once, **how) -> list[dict]:
+    """A sweep that keeps its records in an append-only log, a folder that Spark writes: each run's record is there before the
+    next begins, and runs whose configuration, ratio and seed the log already holds aren't repeated. All records of the
+    sweep, old and new."""
+    spark = graph.nodes.sparkSession
+    wanted = [(float(ratio), seed) for ratio in ratios for seed in seeds(base_seed, runs, 0)]
+    have = {(r["ratio"], r["seed"]): r for r in logged(spark, log, config)}
+    for ratio, seed in wanted:
+        if (ratio, seed) not in have:
+            record = run(graph, ratio, compressor, seed=seed, **how) | {"config": config, "ratio": ratio, "seed": seed}
+            appended(spark, log, record)
+            have[ratio, seed] = record
+    return [have[key] for key in wanted]
+
+
+def appended(spark: SparkSession, log: str, record: dict) -> None:
+    """One more record of a log. Records may differ in their fields, so each is a JSON text beside its configuration."""
+    import json
+
+    spark.createDataFrame([(record["config"], json.dumps(record, default=str))], "config string, record string").coalesce(1).write.mode("append").parquet(log)
+
+
+def logged(spark: SparkSession, log: str, config: str) -> list[dict]:
+    """The records of a configuration; a log that isn't there has none."""
+    import json
+
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema("config string, record string").parquet(log)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return [json.loads(r["record"]) for r in rows.where(F.col("config") == config).collect()]
+
+
 class Stages:
     """Wall seconds of named stages: ``with stages("build"): ...``."""
 
