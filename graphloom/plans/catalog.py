@@ -534,13 +534,13 @@ def density_leaders(spark, d):
     return dens.select("med", "t_src", "u", F.row_number().over(Window.partitionBy("med", "t_src").orderBy(F.desc("density"), "u")).alias("r"))
 
 
-# With weights of 1 the change is a closed form: each of a list's n members, the pair included, loses half of |x_u - x_v|^2.
+# A small shift keeps sums off the ties of rounding. With weights of 1 the change is a closed form: each of a list's n members, the pair included, loses half of |x_u - x_v|^2.
 @query(T + REL + E + D + M + K + LISTS + ORDERED + PAIRS + """, sizes AS (SELECT med, t_src, count(*) AS n FROM strided GROUP BY ALL)
-SELECT p.med, p.u, p.v, round(round(-n * cost, 9), 5) + 0.0 AS delta FROM pairs p JOIN sizes USING (med, t_src)""")
+SELECT p.med, p.u, p.v, round(3.3e-6::DOUBLE - n * cost, 5) + 0.0 AS delta FROM pairs p JOIN sizes USING (med, t_src)""")
 def dirichlet_delta(spark, d):
     k, ordered, p = pairs_of(spark, d)
     p = p.select("med", "t_src", "u", "v", "w_u", "w_v")
-    return topology.dirichlet_delta(p, ordered, k.nodes).select("med", "u", "v", (F.round(F.round("delta", 9), 5) + 0.0).alias("delta"))
+    return topology.dirichlet_delta(p, ordered, k.nodes).select("med", "u", "v", (F.round(F.col("delta") + 3.3e-6, 5) + 0.0).alias("delta"))
 
 
 @query(T + REL + E + D + """, half AS (SELECT a.u AS med, a.v AS u, b.type_id AS t FROM adj a JOIN degs m ON m.gid = a.u AND m.degree <= 30 JOIN degs b ON b.gid = a.v),
