@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from graphloom.llm import alignment, centroids, packing
+from graphloom.llm import alignment, centroids, packing, toxicity
 
 WORDS = "The of and to In is it that; for on with 'tis as was at by_this be or FROM 12 don't naïve 日本 x<|endoftext|>y".split()
 
@@ -223,3 +223,19 @@ def test_ranks():
     bits = alignment.Bits(ends, 40)
     at = np.arange(40)
     assert bits.rank(at).tolist() == [int((ends <= i).sum()) for i in at]
+
+
+# 1
+
+
+def test_a_long_labelled_row_leaves_the_classifier_as_it_is(spark):
+    rng = np.random.default_rng(6)
+    kinds = (["good", "fine", "nice"], ["vile", "nasty", "foul"])
+    rows = [(i, " ".join(rng.choice([*kinds[i % 2], "the", "a", "of"], 12)), "en") for i in range(120)]
+    long = [(1000 + i, "word " * 900, "en") for i in range(6)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in rows + long], "doc_id long, toxic int")
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string, lang string")
+    plain, with_long = (toxicity.train(frame(r), labels, most_words=1600, most_row_words=400) for r in (rows, rows + long))
+    scores = [{r.doc_id: r.score for r in toxicity.score(frame(rows + long), m).collect()} for m in (plain, with_long)]
+    assert max(scores[1][i] for i in range(120)) - min(scores[1][i] for i in range(120)) > 0.2
+    assert all(abs(scores[0][i] - scores[1][i]) < 0.2 for i in range(120)) and len(scores[1]) == 126
