@@ -9,7 +9,8 @@ points): equal texts have equal fingerprints, and the share of equal slots estim
 
 Defined results: null texts count as empty; two texts without phrases are alike (1), one without and one with are not
 (0); repeated rows are rows of their own, next to each other in the order; a table of one row is its own next document;
-null ids sort first; ties in id are ordered by text; an empty table gives an empty result.
+null ids sort first; ties in id are ordered by a hash of the text, so rows of one id (or none) spread over tasks; texts of any
+length are read whole; columns other than the id and the text aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
 def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next text's.
 
-    Texts are dealt out once by ranges of the id and read in order. The first and last row of each range are finished in
+    Texts are dealt out once by ranges of the id and the text's hash, and read in order. The first and last row of each range are finished in
     one small task: it gets two rows from each partition, however many rows there are.
     """
     id_type = df.schema[id_col].dataType
@@ -165,7 +166,8 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield batch_of(rows([i for i, _ in tails], texts, nxt, sketches(texts), sketches(nxt)), kind)
 
     docs = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange(partitions(df.sparkSession), F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), "text")
+    order = [F.col(id_col).asc_nulls_first(), F.xxhash64("text")]
+    ordered = docs.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order, "text")
     done = written(ordered.mapInArrow(walk, schema), "fingerprints")
     ends = done.where(F.col("edge").isNotNull()).repartition(1).sortWithinPartitions("part", "edge").mapInArrow(join, schema)
     return done.where(F.col("edge").isNull()).unionByName(ends).drop("part", "edge", "text")
