@@ -10,8 +10,8 @@ the target is reached is found on those sums and cut into 4,096 parts in the sam
 target is reached is ranked row by row.
 
 Defined results: null texts have the size 0; texts are counted whole; null sources form one source, last in order; rows of
-equal id (or without one) are ordered by a hash of their text, and rows of equal id and text are taken together; an empty
-table gives an empty result. A source without words has the target 0 and is not taken. Other columns pass through unread
+equal id (or without one) are ordered by a hash of their text, and of rows of equal id and text as many are taken as the
+target needs (which ones is open, as they are alike); an empty table gives an empty result. A source without words has the target 0 and is not taken. Other columns pass through unread
 under any name; :func:`mixed` replaces those named like its own new ones.
 """
 
@@ -84,8 +84,9 @@ def edge(rows: DataFrame, part: Column) -> DataFrame:
 
 
 def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, odds_col: str | None = None) -> DataFrame:
-    """The mix's plan: (source, source_size, target, whole, left, cut), one row for each source. A document is taken
-    ``whole`` times, and once more if its (rank, tie) is at most ``cut`` (null: none)."""
+    """The mix's plan: (source, source_size, target, whole, left, cut, some), one row for each source. A document is taken
+    ``whole`` times, and once more if its (rank, tie) is at most ``cut`` (null: none); of repeated rows at ``cut`` itself
+    only ``some`` are (null: all)."""
     odds = [F.col(odds_col).alias("odds")] if odds_col else []
     sized = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), tie(F.col(text_col)).alias("tie"), *odds), "mix_sizes")
     per = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "mix_targets")
@@ -93,12 +94,15 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     rows = sized.join(per, sized["source"].eqNullSafe(per["source"])).drop(sized["source"]).withColumns({"rank": rank, "place": place, "before": F.lit(0).cast("long")})
     near = edge(edge(rows, F.expr(f"place div {CLASSES}")), F.col("place")).select("source", "left", "before", F.struct("rank", "tie").alias("key"), "size")
     by_key = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    tied = near.groupBy("source", "left", "before", "key").agg(F.sum("size").alias("n")).withColumn("upto", F.col("before") + F.sum("n").over(by_key))
-    # A row is in if that brings the words nearer to the target than stopping before it. If none is, the cut is the lower
-    # end, below all of these rows.
-    last = F.max(F.when(2 * F.col("upto") - F.col("n") < 2 * F.col("left"), F.col("key")))
-    low = F.min("key")
-    cuts = tied.groupBy("source").agg(last.alias("last"), low.alias("low")).select(F.col("source").alias("s"), F.coalesce("last", F.struct((F.col("low.rank") * (1 - 2.0**-52)).alias("rank"), F.col("low.tie").alias("tie"))).alias("cut"))
+    tied = near.groupBy("source", "left", "before", "key").agg(F.sum("size").alias("n"), F.count("*").alias("k")).withColumn("below", F.col("before") + F.sum("n").over(by_key) - F.col("n"))
+    # Rows of one key are of one size. A row is in if that brings the words nearer to the target than stopping before it.
+    # If none is, the cut is the lower end, below all of these rows.
+    need = F.when(F.col("n") > 0, F.ceil((F.col("left") - F.col("below")) * F.col("k") / F.col("n") - 0.5)).otherwise(F.when(F.col("below") < F.col("left"), F.col("k")).otherwise(0))
+    tied = tied.withColumn("need", need.cast("long"))
+    last = F.max(F.when(F.col("need") > 0, F.struct("key", F.when(F.col("need") < F.col("k"), F.col("need")).alias("some"))))
+    cuts = tied.groupBy("source").agg(last.alias("last"), F.min("key").alias("low"))
+    below = F.struct((F.col("low.rank") * (1 - 2.0**-52)).alias("rank"), F.col("low.tie").alias("tie"))
+    cuts = cuts.select(F.col("source").alias("s"), F.coalesce("last.key", below).alias("cut"), F.col("last.some").alias("some"))
     out = written(per.join(cuts, per["source"].eqNullSafe(cuts["s"]), "left").drop("s"), "mix_plan")
     dropped(sized, per)
     return out
@@ -106,15 +110,34 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
 
 def taken(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: int, seed: int, odds_col: str | None) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with the plan's columns and ``copies`` under names that ``df`` doesn't have, and those names. The plan is
-    joined by Spark's choice, by size (one row for each source)."""
+    joined by Spark's choice, by size (one row for each source). Texts are hashed at the cut's rank only."""
     p = plan(df, id_col, text_col, source_col, weights, cap, seed, odds_col)
-    new = [*p.columns, "copies"]
+    split = not p.where("some is not null").isEmpty()
+    new = [*p.columns, "copies", "at", "part", "i"]
     name = dict(zip(new, fresh(df.columns, *new), strict=True))
     p = p.toDF(*(name[c] for c in p.columns))
     rank, _ = rank_of(id_col, seed, name["source_size"], name["left"], odds_col)
-    inside = F.struct(rank.alias("rank"), tie(F.col(text_col)).alias("tie")) <= F.col(name["cut"])
+    cut, some, whole = F.col(name["cut"]), F.col(name["some"]), F.col(name["whole"])
+    inside = F.when(rank < cut["rank"], True).when(rank == cut["rank"], tie(F.col(text_col)) <= cut["tie"])
     rows = df.join(p, df[source_col].eqNullSafe(p[name["source"]]))
-    return rows.withColumn(name["copies"], F.col(name["whole"]) + F.coalesce(inside.cast("long"), F.lit(0))), name
+    every = rows.withColumn(name["copies"], whole + F.coalesce(inside.cast("long"), F.lit(0)))
+    if not split:
+        return every, name
+    shared = F.coalesce(some.isNotNull() & F.when(rank == cut["rank"], tie(F.col(text_col)) == cut["tie"]), F.lit(False))
+    return every.where(~shared).unionByName(handed_out(rows.where(shared), name)), name
+
+
+def handed_out(rows: DataFrame, name: dict[str, str]) -> DataFrame:
+    """Repeated rows of a source with ``copies``: the first ``some`` of them get one more. They are written with their
+    places, and counted by partition, so no task ranks a source's rows."""
+    source, at, part, i = (name[c] for c in ("source", "at", "part", "i"))
+    flat = written(rows.withColumn(at, F.monotonically_increasing_id()), "mix_tied").withColumn(part, F.shiftrightunsigned(F.col(at), 33))
+    earlier = Window.partitionBy(source).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    per = flat.groupBy(source, part).agg(F.count("*").alias("n")).select(F.col(source).alias("s"), F.col(part).alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
+    placed = flat.withColumn(i, F.row_number().over(Window.partitionBy(source, part).orderBy(at)))
+    met = placed.join(per, placed[source].eqNullSafe(per["s"]) & (placed[part] == per["p"]))
+    more = (per["earlier"] + F.col(i) <= F.col(name["some"])).cast("long")
+    return met.select(*rows.columns, (F.col(name["whole"]) + more).alias(name["copies"]))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, odds_col: str | None = None) -> DataFrame:

@@ -338,6 +338,16 @@ def test_fingerprints(docs):
     assert fingerprint.compared_with_next(docs.where("doc_id = 8")).first().near_next == 1.0
 
 
+def test_fingerprints_of_rows_without_ids(spark):
+    """A crowd of rows of one id or none is read in the order of its texts' hashes, over several tasks."""
+    rows = [(None if i < 60 else 5, text(400 + i % 45, 30)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fingerprint": F.lit("f"), "part": F.lit(1)})
+    order = [(r.doc_id is not None, r.h, r.text) for r in df.withColumn("h", F.xxhash64("text")).collect()]
+    texts = [t for *_, t in sorted(order)]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in zip(texts, texts[1:] + texts[:1], strict=True))
+    assert sorted(r.edited_sha256 for r in fingerprint.compared_with_next(df).collect()) == want
+
+
 def test_parsing_ignores_offsets():
     t = text(5, 400)
     for level in (2, 3):
@@ -507,6 +517,18 @@ def test_mixing_without_ids_and_with_clashing_columns(spark):
     assert out.columns == df.columns and out.where("target = 'target' and left = 'left'").count() == m.agg(F.sum("__copies")).first()[0]
 
 
+def test_mixing_hands_out_repeated_rows(spark):
+    """Of equal rows as many are taken as the target needs, over any number of partitions; other columns stay with them."""
+    rows = [(7, "a b c d", "x")] * 300 + [(None, "e f", "y")] * 500 + [(i, "w " * (i % 5 + 1), "z") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.monotonically_increasing_id())
+    for parts in (1, 9):
+        m = mixing.mixed(df.repartition(parts, "n"))
+        per = {r.source: r for r in m.groupBy("source").agg(F.sum(F.col("__copies") * F.col("__size")).alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"), F.count_distinct("n").alias("kinds")).collect()}
+        assert {s: (r.n, r.kinds) for s, r in per.items()} == {"x": (300, 300), "y": (500, 500), "z": (400, 400)}
+        assert all(abs(r.taken - r.target) <= 3 for r in per.values())
+        assert mixing.repeated(df.repartition(parts, "n")).count() == m.agg(F.sum("__copies")).first()[0]
+
+
 def test_unequal_inclusion(spark):
     df = spark.createDataFrame([(i, "w", "a" if i < 4000 else "b", 1.5 if i % 2 else 0.5) for i in range(8000)], "doc_id long, text string, source string, odds double")
     m = mixing.mixed(df, weights=(1, 3), odds_col="odds").where("source = 'a'")
