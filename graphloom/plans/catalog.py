@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vec
 from ..operators import baselines, coarsen, embed, metrics, quotient, reduce, sage, search, topology
 from ..schema import TypedGraph, global_edges, outside
-from ..sources import graphs
+from ..sources import graphs, loaders
 from . import api, experiments
 from .sql import D, E, K, LISTS, M, MAP, ORDERED, PAIRS, REL, T, Q
 
@@ -981,6 +981,39 @@ for _name, _sql in {
     SQL[f"src_graph_{_name}"] = _sql
 
 
+def _loaded(name):
+    def run(spark, d):
+        """Nodes by type with their flags, classes and sum of features, and rows by relation with a mix of their ids."""
+        g = loaders.LOADERS[name](spark, d)
+        flag = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long")).alias(c[3:])
+        x = F.round(F.sum(F.coalesce(vec.total(F.col("x")), F.lit(0.0))), 3) + 0.0
+        n = g.nodes.join(F.broadcast(g.types), "type_id").groupBy(F.col("node_type").alias("name")).agg(F.count("*").alias("n"), flag("is_train"), flag("is_val"), flag("is_test"), F.count_distinct("y").alias("classes"), x.alias("x"))
+        z = F.lit(0).cast("long")
+        mixed = F.sum((F.col("src") * 31 + F.col("dst") * 17) % 1009).cast("double")
+        e = g.edges.groupBy(F.concat_ws("/", "src_type", "rel", "dst_type").alias("name")).agg(F.count("*").alias("n"), mixed.alias("x"))
+        return n.unionByName(e.select("name", "n", z.alias("train"), z.alias("val"), z.alias("test"), z.alias("classes"), "x"))
+
+    return run
+
+
+#: Rows of relations r (src_type, rel, dst_type, src, dst), and splits of n nodes in counts.
+_ROWS = " UNION ALL SELECT src_type || '/' || rel || '/' || dst_type, count(*)::BIGINT, 0, 0, 0, 0, sum((src * 31 + dst * 17) % 1009)::DOUBLE FROM r GROUP BY 1"
+_BARE = " UNION ALL SELECT '{0}', count(*)::BIGINT, 0, 0, 0, 0, 0.0 FROM {1}"
+_TR, _VA = "least(200, greatest(1, n // 3))", "least(100, greatest(1, (n - least(200, greatest(1, n // 3))) // 4))"
+_BY_CLASS = f"SELECT sum(n)::BIGINT AS n, sum({_TR})::BIGINT AS train, sum({_VA})::BIGINT AS val, sum(n - {_TR} - {_VA})::BIGINT AS test, count(*)::BIGINT AS classes FROM (SELECT y, count(*) AS n FROM {{0}} GROUP BY y)"
+_OWN = "SELECT node_type AS name, count(*)::BIGINT AS n, sum({0}::INT)::BIGINT AS train, sum({1}::INT)::BIGINT AS val, sum(is_test::INT)::BIGINT AS test, count(DISTINCT y)::BIGINT AS classes, coalesce(any_value(sx), 0.0) AS x FROM nodes JOIN types USING (type_id) LEFT JOIN sums USING (type_id) GROUP BY 1"
+_KEPT = ", r0 AS (SELECT * FROM rel), kc AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS k, c_nationkey // 5 AS y FROM customer WHERE c_nationkey < 15), ko AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders WHERE o_custkey IN (SELECT id FROM kc)), kp AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey IN (SELECT id FROM ko))), ks AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_partkey IN (SELECT id FROM kp))), kn AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT c_nationkey AS id FROM customer WHERE c_nationkey < 15)), ids AS (SELECT 'customer' AS t, id, k FROM kc UNION ALL SELECT 'order', id, k FROM ko UNION ALL SELECT 'part', id, k FROM kp UNION ALL SELECT 'supplier', id, k FROM ks UNION ALL SELECT 'nation', id, k FROM kn), r AS (SELECT src_type, rel, dst_type, a.k AS src, b.k AS dst FROM r0 JOIN ids a ON a.t = src_type AND a.id = src JOIN ids b ON b.t = dst_type AND b.id = dst), sums AS (SELECT node_type AS t, round(sum(a), 3) + 0.0 AS sx FROM x JOIN types USING (type_id) JOIN ids ON ids.t = node_type AND ids.id = x.gid - off GROUP BY 1) "
+for _name, _sql in {
+    "trade_means": T + REL + D + M + ", px AS (SELECT gid - off AS id, i, a / greatest(sqrt(sum(a * a) OVER (PARTITION BY gid)), 1e-12) AS a FROM x JOIN types USING (type_id) WHERE type_id = 2), two AS (SELECT unnest([0, 1]) AS i), o1 AS (SELECT l_orderkey AS id, i, avg(a) AS a FROM lineitem JOIN px ON l_partkey = id GROUP BY ALL), ox AS (SELECT o_orderkey AS id, o_custkey, two.i, coalesce(a, 0) AS a FROM orders CROSS JOIN two LEFT JOIN o1 ON o1.id = o_orderkey AND o1.i = two.i), c1 AS (SELECT o_custkey AS id, i, avg(a) AS a FROM ox GROUP BY ALL), cx AS (SELECT c_custkey AS id, c_nationkey, two.i, coalesce(a, 0) AS a FROM customer CROSS JOIN two LEFT JOIN c1 ON c1.id = c_custkey AND c1.i = two.i), nx AS (SELECT c_nationkey AS id, i, avg(a) AS a FROM cx GROUP BY ALL), sums AS (SELECT type_id, round(sum(a), 3) + 0.0 AS sx FROM (SELECT 0 AS type_id, a FROM cx UNION ALL SELECT 1, a FROM ox UNION ALL SELECT 2, a FROM px UNION ALL SELECT 3, a FROM x WHERE type_id = 3 UNION ALL SELECT 4, a FROM nx) GROUP BY 1), r AS (SELECT * FROM rel UNION ALL SELECT dst_type, 'rev_' || rel, src_type, dst, src FROM rel WHERE rel IN ('contains', 'in')) " + _OWN.format("is_train", "is_val") + _ROWS,
+    "trade_carved": T + REL + D + M + ", sums AS (SELECT type_id, round(sum(a), 3) + 0.0 AS sx FROM x GROUP BY 1), r AS (SELECT * FROM rel), whole AS (" + _OWN.format("is_train", "is_val") + ") SELECT name, n, train - CASE WHEN train > 0 THEN greatest(1, floor(train * 0.2)) ELSE 0 END::BIGINT AS train, val + CASE WHEN train > 0 THEN greatest(1, floor(train * 0.2)) ELSE 0 END::BIGINT AS val, test, classes, x FROM whole" + _ROWS,
+    "trade_classes": T + REL + D + M + _KEPT + "SELECT 'customer' AS name, n, train, val, test, classes, sx AS x FROM (" + _BY_CLASS.format("kc") + "), sums WHERE t = 'customer'" + "".join(f" UNION ALL SELECT '{t}', count(*)::BIGINT, 0, 0, 0, 0, coalesce((SELECT sx FROM sums WHERE t = '{t}'), 0.0) FROM {k}" for t, k in (("order", "ko"), ("part", "kp"), ("supplier", "ks"), ("nation", "kn"))) + _ROWS,
+    "docs_labelled": "WITH kd AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS k, source, lang, n_chars, y FROM documents JOIN (SELECT doc_id, min(quality) AS y FROM labels GROUP BY 1 HAVING min(quality) >= 0) USING (doc_id)), e AS (SELECT * FROM kd WHERE source IS NOT NULL AND lang IS NOT NULL), ksrc AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS k FROM (SELECT DISTINCT source FROM e)), kl AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS k FROM (SELECT DISTINCT lang FROM e)), r AS (SELECT 'doc' AS src_type, 'from' AS rel, 'source' AS dst_type, e.k AS src, ksrc.k AS dst FROM e JOIN ksrc USING (source) UNION ALL SELECT 'doc', 'in', 'lang', e.k, kl.k FROM e JOIN kl USING (lang)) SELECT 'doc' AS name, count(*)::BIGINT AS n, greatest(1, floor(count(*) * 0.6))::BIGINT AS train, greatest(1, floor(count(*) * 0.2))::BIGINT AS val, (count(*) - greatest(1, floor(count(*) * 0.6)) - greatest(1, floor(count(*) * 0.2)))::BIGINT AS test, count(DISTINCT y)::BIGINT AS classes, round(sum(ln(1 + n_chars)), 3) + 0.0 AS x FROM kd" + _BARE.format("source", "ksrc") + _BARE.format("lang", "kl") + _ROWS,
+    "order_matrix": "WITH o AS (SELECT o_orderkey AS id, substr(o_orderpriority, 1, 1)::INT AS y FROM orders), r AS (SELECT 'order' AS src_type, 'contains' AS rel, 'part' AS dst_type, l_orderkey AS src, l_partkey AS dst FROM lineitem) SELECT 'order' AS name, n, train, val, test, classes, (SELECT round(sum(l_quantity)::DOUBLE, 3) + 0.0 FROM lineitem) AS x FROM (" + _BY_CLASS.format("o") + ")" + _BARE.format("part", "part") + _ROWS,
+}.items():
+    QUERIES[f"load_{_name}"] = _loaded(_name)
+    SQL[f"load_{_name}"] = _sql
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Buckets of a random order, the quotient they make, and what it keeps."""
     g = trade(spark, d)
