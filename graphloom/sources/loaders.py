@@ -64,7 +64,7 @@ def with_reverse(graph: TypedGraph, relations: list[tuple[str, str, str]]) -> Ty
 
 def split_anew(graph: TypedGraph, how: str = "random", seed: int = 42) -> TypedGraph:
     """New flags for the target's labelled nodes: 'random' (60, 20 and 20 of 100) or 'stratified' by class."""
-    ours = F.col("type_id") == type_ids(graph)[graph.target]
+    ours = F.col("type_id") == type_ids(graph).get(graph.target, -1)  # an empty part has no types
     rows = graph.nodes.where(ours & (F.col("y") >= 0)).drop(*FLAGS)
     split = {"random": graphs.split_by_rank, "stratified": graphs.split_stratified}[how](rows, graphs.md5_key(seed))
     none = {c: F.lit(False) for c in FLAGS}
@@ -114,7 +114,7 @@ def classes_by_link(graph: TypedGraph, by: str, classes: dict[int, int], chain:
     """The part of the target's nodes that are linked with a node of type ``by`` which ``classes`` maps, with that class (the
     smallest of several) as label, split by class."""
     pairs = graph.edges.sparkSession.createDataFrame(sorted(classes.items()), "other long, y int")
-    kept = linked(graph.edges, graph.target, by).join(F.broadcast(pairs), "other").groupBy(F.col("one").alias("node_id")).agg(F.min("y").alias("y"))
+    kept = linked(graphs.oriented(graph.edges, graph.types), graph.target, by).join(F.broadcast(pairs), "other").groupBy(F.col("one").alias("node_id")).agg(F.min("y").alias("y"))
     return split_anew(part_of(graph, kept, chain), "stratified", seed)
 
 
