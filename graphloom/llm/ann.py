@@ -4,10 +4,11 @@ Equal directions are one node (whatever the number of rows). Every node starts w
 random projections, and the graph is refined: around each node its neighbours and reverse neighbours (both bounded) are
 compared with each other, and every node keeps its nearest. Nodes whose lists are saturated, all at or above the
 threshold, get longer lists; those whose list still holds links only are compared, as a query set in blocks, with all
-nodes, which finds all their links; these are summed and tied tile by tile, so a large group is never listed by pairs. Recall over the other nodes' links is audited by brute force, on a set of nodes that
-grows until ``enough`` of their links are seen, and the target holds: where it is missed, links are sought along more
-orders, and then, or at once among few nodes, all nodes whose links aren't all known are compared with each other. Kept
-edges are those with cosine >= threshold in double precision.
+nodes, which finds all their links; these are summed and tied tile by tile, so a large group is never listed by pairs. Recall over the other nodes' links
+is audited on a bounded set of nodes, compared with all, and on planted pairs: near copies of as many nodes, of cosines
+from the threshold to 1, which take part in the search and leave the result. So tables without links are audited too. Where
+the target is missed, links are sought along more and more orders; if the last ones miss it as well, all nodes whose links
+aren't all known are compared with each other. Kept edges are those with cosine >= threshold in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
 vectors of different lengths; repeated rows link with each other; equal ids are rows of their own; a component's id is its
@@ -27,8 +28,7 @@ from pyspark.sql import functions as F
 from .common import components, dropped, written
 
 BLOCK = 2048
-FEW = 1 << 16  # up to so many nodes, comparing all is cheaper than more orders
-ASKED = 8192  # nodes by which an audit grows
+ASKED = 8192  # nodes of a block or tile
 
 
 def nodes_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -288,31 +288,46 @@ def among(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
     return cells.groupBy("cell").applyInArrow(meet, "u long, v long, sim double")
 
 
-def completed(known: DataFrame, rest: DataFrame, asked: DataFrame, truth: DataFrame, threshold: float, target: float, enough: int, seed: int, few: int) -> DataFrame:
+def planted(nodes: DataFrame, n: int, threshold: float, seed: int) -> DataFrame:
+    """(of, node, v): near copies of ``n`` nodes, of cosines spread over the range from the threshold to 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, node, made = [], [], []
+            for name, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v = np.array(v)
+                draw = np.random.default_rng([seed, name % 2**63])
+                away = draw.normal(size=len(v))
+                away -= away @ v * v
+                if len(v) > 1 and np.sqrt(away @ away) > 1e-6:
+                    cos = threshold + (1 - threshold) * draw.uniform(0.01, 0.99)
+                    x = cos * v + np.sqrt(1 - cos * cos) * away / np.sqrt(away @ away)
+                    of.append(name)
+                    node.append(xxhash.xxh3_64_intdigest(f"planted {name}") - 2**63)
+                    made.append(x / np.sqrt(x @ x))
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(node, pa.int64()), pa.array(made, pa.list_(pa.float64()))], names=["of", "node", "v"])
+
+    some = nodes.orderBy(F.xxhash64("node", F.lit(seed + 1)), "node").limit(n).select("node", "v")
+    return some.mapInArrow(run, "of long, node long, v array<double>")
+
+
+def completed(known: DataFrame, rest: DataFrame, truth: DataFrame, threshold: float, target: float, seed: int) -> DataFrame:
     """``known`` edges and those of ``rest``, the nodes whose links aren't all known, that the audited target takes.
-    ``truth`` has all links of the nodes ``asked``."""
+    ``truth`` has links to be found."""
     rest = written(rest, "rest")
     n = rest.count()
     ends = rest.select("node")
     inside = lambda e: e.join(ends.withColumnRenamed("node", "u"), "u", "left_semi").join(ends.withColumnRenamed("node", "v"), "v", "left_semi")
     want = written(inside(truth), "want")
-    seen, parts, asked_parts = want.count(), max(1, -(-n // ASKED)), 0
-    while n > few and seen < enough and asked_parts < parts:
-        more = rest.where(F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(parts)) == asked_parts).join(asked.select("node"), "node", "left_anti")
-        want = written(want.unionByName(against_all(more, rest, threshold).where(F.col("sim") >= threshold).select("u", "v")), "want")
-        seen, asked_parts = want.count(), asked_parts + 1
-    if asked_parts == parts:
-        return known.unionByName(want)
-    if seen >= enough:
-        for turn in range(4):
-            # Both ends may have found it.
-            either = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-            if want.join(either, ["u", "v"], "left_semi").count() >= target * seen:
-                return known
-            if n <= few or turn == 3:
-                break
+    seen = want.count()
+    for turn in range(5):
+        # Both ends may have found it.
+        either = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+        if want.join(either, ["u", "v"], "left_semi").count() >= target * seen:
+            return known
+        if turn < 4:
             more = started(rest, 16 << turn, 16, seed + 1000 + turn, bits_for(n), threshold)
-            known = written(known.unionByName(more.select("u", "v")).distinct(), "known")
+            known = written(known.unionByName(more.where(F.col("sim") >= threshold).select("u", "v")).distinct(), "known")
     return known.unionByName(among(rest, n, threshold).select("u", "v"))
 
 
@@ -321,19 +336,20 @@ def bits_for(n: int) -> int:
     return max(12, n.bit_length() - 3)
 
 
-def descend(nodes: DataFrame, threshold: float, k: int, longest: int, rounds: int, target: float, audit: int, orders: int, seed: int, enough: int, few: int) -> DataFrame:
+def descend(nodes: DataFrame, threshold: float, k: int, longest: int, rounds: int, target: float, audit: int, orders: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Links at or above the threshold of ``nodes`` (node, v, size): (u, v) for each link of a node u that isn't saturated,
     and for the saturated ones what :func:`summed` makes of theirs."""
-    n, sized = nodes.count(), nodes
-    nodes = nodes.select("node", "v")
+    n, sized, real = nodes.count(), nodes, nodes.select("node", "v")
+    copies = written(planted(real, audit, threshold, seed), "planted")
+    nodes = written(real.unionByName(copies.select("node", "v")), "searched")
     # The start grows with the rows.
-    grown = max(0, n.bit_length() - FEW.bit_length() + 1)
+    grown = max(0, n.bit_length() - 16)
     graph = written(nearest(started(nodes, orders + 2 * grown, 3 + grown, seed, bits_for(n)), None, k), "graph")
     sizes = None
-    # A bounded audit set, compared with all nodes.
-    asked = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(audit)
-    truth = written(against_all(asked, nodes, threshold).where(F.col("sim") >= threshold).select("u", "v"), "truth")
-    n_truth = truth.count()
+    # A bounded audit set, compared with all nodes, and the planted pairs.
+    asked = written(real.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(audit), "asked")
+    pairs = copies.select(F.col("of").alias("u"), F.col("node").alias("v"))
+    truth = written(against_all(asked, real, threshold).where(F.col("sim") >= threshold).select("u", "v").unionByName(pairs), "truth")
     for turn in range(rounds):
         before, graph = graph, written(nearest(graph.unionByName(refined(graph, nodes, k)), sizes, k), "graph")
         dropped(before)
@@ -344,13 +360,11 @@ def descend(nodes: DataFrame, threshold: float, k: int, longest: int, rounds: in
         sizes = written(have.select("u", F.when((F.col("n") >= limit) & (F.col("low") >= threshold), F.least(2 * limit, F.lit(longest))).otherwise(limit).alias("k")).where(F.col("k") > k), "sizes")
         stuck = full.join(sizes.where(F.col("k") >= longest), "u").where((F.col("n") >= longest) & (F.col("low") >= threshold)).select("u")
         if turn >= 2:
-            sure = asked.select(F.col("node").alias("u")).join(stuck, "u", "left_anti")
-            want = truth.join(sure, "u", "left_semi")
-            got = want.join(graph, ["u", "v"], "left_semi").count()
-            if got >= target * want.count() or not n_truth:
+            want = truth.join(stuck, "u", "left_anti")
+            if want.join(graph, ["u", "v"], "left_semi").count() >= target * want.count():
                 break
     # Nodes with nothing below the threshold in their lists may have more links: all nodes are searched for theirs.
-    may = written(graph.groupBy("u").agg(F.min("sim").alias("low")).where(F.col("low") >= threshold).select(F.col("u").alias("node")).join(nodes, "node"), "saturated")
+    may = written(graph.groupBy("u").agg(F.min("sim").alias("low")).where(F.col("low") >= threshold).select(F.col("u").alias("node")).join(real, "node"), "saturated")
     asks = may.select("node", F.lit(True).alias("asked"))
     every = sized.join(asks, "node", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
     sums = written(summed(may, every, threshold), "sums")
@@ -358,17 +372,21 @@ def descend(nodes: DataFrame, threshold: float, k: int, longest: int, rounds: in
     known = open_(graph.where(F.col("sim") >= threshold).select("u", "v")).unionByName(sums.where("kind = 'link'").select("u", "v"))
     known = written(known.distinct(), "found")
     rest = nodes.join(may.select("node"), "node", "left_anti")
-    found = completed(known, rest, asked, truth, threshold, target, enough, seed, few)
-    links = written(open_(found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()).select("u", "v"), "near")
-    dropped(graph, known, truth)
+    found = completed(known, rest, truth, threshold, target, seed)
+    both = open_(found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    # What was planted goes.
+    for end in ("u", "v"):
+        both = both.join(copies.select(F.col("node").alias(end)), end, "left_anti")
+    links = written(both.select("u", "v"), "near")
+    dropped(graph, known, truth, copies, nodes, asked)
     return links, sums
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, k: int = 12, longest: int = 48, rounds: int = 8, target: float = 0.995, audit: int = 512, orders: int = 6, seed: int = 5, enough: int = 400, few: int = FEW) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, k: int = 12, longest: int = 48, rounds: int = 8, target: float = 0.995, audit: int = 512, orders: int = 6, seed: int = 5) -> DataFrame:
     """One row for each row of ``df``: its id, n_links, component_id, kept."""
     rows = written(nodes_of(df, id_col, vector_col), "vectors")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("v").alias("v"), F.count("*").alias("size")), "nodes")
-    edges, sums = descend(nodes, threshold, k, longest, rounds, target, audit, orders, seed, enough, few)
+    edges, sums = descend(nodes, threshold, k, longest, rounds, target, audit, orders, seed)
     roots = components(edges.unionByName(sums.where("kind = 'tie'").select("u", "v")), "u", "v")
     size = nodes.select(F.col("node").alias("v"), "size")
     each = edges.join(size, "v").select(F.col("u").alias("node"), "size").unionByName(sums.where("kind = 'sum'").select(F.col("u").alias("node"), F.col("w").alias("size")))
